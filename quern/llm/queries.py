@@ -16,12 +16,34 @@ def _file(name: str) -> bytes:
         return f.read()
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), _file("piece_bpe_32k.model"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode, encode, read_ranks
+
+    ranks = _file("byte_bpe_multi_50k.tiktoken")
+    d = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), read_ranks(ranks)), 256).alias("decoded_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import compare_edited, distinct_count, to_string
+
+    d = compare_edited(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_chars", "edited_sha256", to_string(F.col("sketch")).alias("fingerprint"), to_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", distinct_count(F.col("sketch")).alias("n_distinct"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -29,5 +51,20 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "region", "rack", "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op8_sharding": op8_sharding}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, learn_by_key, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, learn_by_key(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_packing": op3_packing,
+    "op4_fingerprint": op4_fingerprint,
+    "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
+}
 ORACLES: dict[str, str] = {}
