@@ -44,6 +44,13 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_chars", "edited_sha256", to_string(F.col("sketch")).alias("fingerprint"), to_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", distinct_count(F.col("sketch")).alias("n_distinct"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    d = extract(table(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "template_size")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -59,12 +66,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .covertree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_fingerprint": op4_fingerprint,
+    "op6_html_text": op6_html_text,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 ORACLES: dict[str, str] = {}
