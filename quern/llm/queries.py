@@ -44,6 +44,12 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_chars", "edited_sha256", to_string(F.col("sketch")).alias("fingerprint"), to_string(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", distinct_count(F.col("sketch")).alias("n_distinct"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .htmltext import extract
 
@@ -51,6 +57,13 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "template_size")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    d = dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "text", F.col("_removed").cast("long").alias("n_removed"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
@@ -77,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op4_fingerprint": op4_fingerprint,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_text": op6_html_text,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_vector_dedup": op10_vector_dedup,
