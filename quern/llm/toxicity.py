@@ -4,7 +4,8 @@ A token with signs of disguise - leetspeak, separators between letters, letters
 a lattice: at each place the letters that may have been meant, each with a channel cost. Viterbi decoding under a
 character trigram model takes the cheapest path; all other tokens are taken as they stand. The trigram counts come from
 all texts, and words that mark toxic texts get a share of them, so that the model holds both. The score is a logistic
-function of how many marker words, and how many different ones, the restored text has.
+function of how many markers, and how many different ones, the restored text has. A marker is a word, or the beginning
+of words (written "begin*"), as endings vary in some languages.
 
 `learn` fits everything from (text, label) rows: marker words by the number of distinct toxic and other texts that hold
 them (at most `markers` words: the model is bounded, the counts cover every row), and the logistic weights by Newton steps
@@ -64,6 +65,7 @@ class Model:
 
 
 TYPES, HITS = 6, 12
+BEGINNINGS = (4, 5, 6)
 
 
 def costs(counts: np.ndarray, words: dict[str, float], share: float = 0.02) -> np.ndarray:
@@ -72,7 +74,7 @@ def costs(counts: np.ndarray, words: dict[str, float], share: float = 0.02) -> n
     counts[:, :, 27] *= 0.1  # other scripts' letters are no guide for restored ones
     own = np.zeros((A, A, A))
     for w in words:
-        own += trigrams(w).reshape(A, A, A)
+        own += trigrams(w.rstrip("*")).reshape(A, A, A)
     if own.sum():
         counts += own * (max(counts.sum(), 1.0) * share / own.sum())
     two = counts.sum(0) + 0.5
@@ -87,6 +89,7 @@ class Restorer:
         self.model, self.limit = model, memo
         self.cost = model.cost.tolist() if model.cost is not None else None
         self.memo: dict[str, str] = {}
+        self.hits: dict[str, tuple[str, ...]] = {}
 
     def options(self, run: str, n: int) -> list[tuple[str, float]]:
         """What n times the character `run` may stand for."""
@@ -134,7 +137,16 @@ class Restorer:
         if len(parts) > 1:
             return " ".join(self.word(p) for p in parts)
         inner = token.lstrip("\"'([{<«“-").rstrip(".,;:?\"')]}>»”-")
-        return min((self.decode(x) for x in {body, inner} if x), key=lambda w: (w not in self.model.markers, len(w)))
+        return min((self.decode(x) for x in {body, inner} if x), key=lambda w: (self.marker(w) is None, len(w)))
+
+    def marker(self, word: str) -> str | None:
+        """The marker that a word has."""
+        markers = self.model.markers
+        if word in markers:
+            return word
+        if word[-1:] == "s" and word[:-1] in markers:
+            return word[:-1]
+        return next((b for n in BEGINNINGS if (b := word[:n] + "*") in markers and len(word) > n), None)
 
     def words(self, text: str) -> list[str]:
         tokens = text.lower().split()
@@ -150,6 +162,8 @@ class Restorer:
 
     def spaced(self, tokens: list[str]) -> list[str]:
         """The words that runs of three or more single characters stand for."""
+        if self.cost is None:
+            return []
         out, run = [], []
         for t in [*tokens, ""]:
             body = t.strip(EDGE) or t
@@ -161,14 +175,20 @@ class Restorer:
                     letters = self.decode(" ".join(run[at : at + 60])).split()
                     out += letters
                     joined = "".join(letters)
-                    out += [w for w in self.model.markers if len(w) > 3 and w in joined and w not in letters]
+                    out += [w for w in self.model.markers if len(w) > 3 and w[-1] != "*" and w in joined and w not in letters]
             run = []
         return out
 
     def features(self, text: str) -> tuple[int, int]:
         """How many different markers the restored text has, and how many in all."""
-        markers = self.model.markers
-        found = [w for r in self.words(text) for w in ((r,) if " " not in r else r.split()) if w in markers or w[-1:] == "s" and w[:-1] in markers]
+        tokens = text.lower().split()
+        if len(self.hits) > self.limit:
+            self.hits = {}
+        for t in set(tokens).difference(self.hits):
+            self.hits[t] = tuple(m for w in self.word(t).split() if (m := self.marker(w)))
+        found = [m for ms in filter(None, map(self.hits.__getitem__, tokens)) for m in ms]
+        if _SPACED.search(text):
+            found += [m for w in self.spaced(tokens) if (m := self.marker(w))]
         return len(set(found)), len(found)
 
 
@@ -203,14 +223,15 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, toxic, other): in how many distinct texts of either label a word occurs. rows: _text, _label."""
+    """(word, toxic, other): in how many distinct texts of either label a word or beginning occurs. rows: _text, _label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = Restorer(Model())
         for batch in slices(batches, "_text"):
             sides = Counter(), Counter()
             for t, label in zip(texts(batch, "_text"), batch.column(1).to_pylist()):
-                sides[label].update(set(plain.words(t)))
+                words = set(plain.words(t))
+                sides[label].update(words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n})
             both = list(sides[1] | sides[0])
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([sides[1][w] for w in both], pa.int64()), pa.array([sides[0][w] for w in both], pa.int64())], names=["word", "toxic", "other"])
 
@@ -223,7 +244,7 @@ def choose_markers(counts: DataFrame, toxic: int, other: int, markers: int = 500
     if not toxic or not other:
         return {}
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("other") + 0.5) / (other + 1))
-    least = 3 + 0.004 * toxic
+    least = 2 + 0.004 * toxic
     rows = counts.where((F.col("toxic") >= least) & (F.length("word") > 2) & (ratio >= odds)).select("word", F.ln(ratio).alias("w"), "toxic").orderBy(F.desc("toxic"), "word").limit(markers).collect()
     return {r["word"]: r["w"] for r in rows}
 
