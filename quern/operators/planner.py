@@ -14,8 +14,9 @@ def cost_model(executors: DataFrame, batch: float, pull: float) -> DataFrame:
     The fastest executors work and the others serve: cost(W) = batch / sum over workers of
     1 / (1 / throughput + pull * max(1 / bandwidth, W / bandwidth of all servers)). A worker meets only the candidates that have it.
     """
-    order = Window.orderBy(F.desc("throughput"), "id")  # one row an executor
-    ranked = executors.select("id", F.col("throughput").cast("double").alias("thr"), F.col("bandwidth").cast("double").alias("bw"), F.row_number().over(order).cast("long").alias("rank"))
+    order = Window.orderBy(F.desc("thr"), "id")  # one row an executor
+    plain = executors.select("id", F.col("throughput").cast("double").alias("thr"), F.col("bandwidth").cast("double").alias("bw"))
+    ranked = plain.select("*", F.row_number().over(order).cast("long").alias("rank"))
     ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("servers_bw", F.coalesce(F.sum("bw").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
     candidates = ranked.where("rank < n").select(F.col("rank").alias("workers"), F.col("servers_bw").alias("w_bw"))
     each = ranked.withColumn("workers", F.explode(F.when(F.col("rank") < F.col("n"), F.sequence(F.col("rank"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))))

@@ -43,12 +43,12 @@ def vec_get_set(spark, d):
     return vecs(spark, d).select("vec_id", F.round(V.get(F.col("v"), 3), 6).alias("third"), F.round(total, 4).alias("total"))
 
 
-@query(f"WITH {PAIR} SELECT vec_id, i - 4 AS i, round(x, 6) AS x FROM y WHERE i >= 4 AND i < 12 UNION ALL SELECT vec_id, i + 8, round(y, 6) FROM y")
+@query(f"WITH {PAIR} SELECT vec_id, i - 4 AS i, round(x, 6) + 0::DOUBLE AS x FROM y WHERE i >= 4 AND i < 12 UNION ALL SELECT vec_id, i + 8, round(y, 6) + 0::DOUBLE FROM y")
 def vec_slice_concat(spark, d):
     return spread(pairs(spark, d), x=V.concat(V.cut(F.col("v"), 4, 12), F.col("w")))
 
 
-@query(f"WITH {LONG} SELECT vec_id, i, round(x + 1.5::DOUBLE, 6) AS plus, round(x - 0.25::DOUBLE, 6) AS minus, round(x * 3::DOUBLE, 6) AS scaled, round(x / 8::DOUBLE, 6) AS divided FROM x")
+@query(f"WITH {LONG} SELECT vec_id, i, round(x + 1.5::DOUBLE, 6) AS plus, round(x - 0.25::DOUBLE, 6) AS minus, round(x * 3::DOUBLE, 6) + 0::DOUBLE AS scaled, round(x / 8::DOUBLE, 6) + 0::DOUBLE AS divided FROM x")
 def vec_scalar_ops(spark, d):
     v = F.col("v")
     return spread(vecs(spark, d), plus=V.add_scalar(v, 1.5), minus=V.sub_scalar(v, 0.25), scaled=V.scale(v, 3.0), divided=V.div(v, 8.0))
@@ -69,7 +69,7 @@ def vec_dot(spark, d):
     return pairs(spark, d).select("vec_id", F.round(V.dot(F.col("v"), F.col("w")), 5).alias("dot"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("own"))
 
 
-@query(f"WITH {LONG} SELECT vec_id, i, round(x, 6) AS x FROM x")
+@query(f"WITH {LONG} SELECT vec_id, i, round(x, 6) + 0::DOUBLE AS x FROM x")
 def vec_explode(spark, d):
     return vecs(spark, d).select("vec_id", V.entries(F.col("v"))).select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
@@ -90,18 +90,18 @@ def mat_shape(spark, d):
     return M.shape(mat(spark, d))
 
 
-@query(f"WITH {MAT} SELECT i - 5 AS i, j - 2 AS j, round(v, 5) AS v FROM m WHERE i >= 5 AND i < 1000000 AND j >= 2 AND j < 7")
+@query(f"WITH {MAT} SELECT i - 5 AS i, j - 2 AS j, round(v, 5) + 0::DOUBLE AS v FROM m WHERE i >= 5 AND i < 1000000 AND j >= 2 AND j < 7")
 def mat_slice(spark, d):
     return rounded(M.slice_columns(M.slice_rows(mat(spark, d), 5, 1_000_000), 2, 7))
 
 
-@query(f"WITH {MAT} SELECT i, j, round(CASE WHEN j = 3 THEN -v ELSE v END, 5) AS v FROM m")
+@query(f"WITH {MAT} SELECT i, j, round(CASE WHEN j = 3 THEN -v ELSE v END, 5) + 0::DOUBLE AS v FROM m")
 def mat_put(spark, d):
     m = mat(spark, d)
     return rounded(M.put(m, M.with_scalar(m.where("j = 3"), lambda v: -v)))
 
 
-@query(f"WITH {MAT} SELECT j AS i, i AS j, round(v, 5) AS v FROM m")
+@query(f"WITH {MAT} SELECT j AS i, i AS j, round(v, 5) + 0::DOUBLE AS v FROM m")
 def mat_transpose(spark, d):
     return rounded(M.transpose(mat(spark, d)))
 
@@ -111,7 +111,7 @@ def mat_scalar_ops(spark, d):
     return rounded(M.with_scalar(mat(spark, d), lambda v: ((v + 2.0) * 3.0 - 1.0) / 4.0))
 
 
-@query(f"WITH {MAT}, n AS (SELECT i + 1 AS i, j, v FROM m) SELECT i, j, round(coalesce(m.v, 0) + 2 * coalesce(n.v, 0), 5) AS v, round(coalesce(m.v, 0) * coalesce(n.v, 0), 5) AS product FROM m FULL JOIN n USING (i, j)")
+@query(f"WITH {MAT}, n AS (SELECT i + 1 AS i, j, v FROM m) SELECT i, j, round(coalesce(m.v, 0) + 2 * coalesce(n.v, 0), 5) + 0::DOUBLE AS v, round(coalesce(m.v, 0) * coalesce(n.v, 0), 5) + 0::DOUBLE AS product FROM m FULL JOIN n USING (i, j)")
 def mat_elementwise(spark, d):
     m = mat(spark, d)
     n = m.withColumn("i", F.col("i") + 1)
@@ -132,7 +132,7 @@ def mat_mat_mul(spark, d):
     return rounded(M.times(M.transpose(m), m), 4)
 
 
-@query(f"WITH {MAT}, s AS (SELECT max(i) + 1 AS r, max(j) + 1 AS c FROM m), w AS (SELECT i, j, v FROM m UNION ALL SELECT i, j + c, v FROM m, s) SELECT i, j, round(v, 5) AS v FROM w UNION ALL SELECT i + r, j, round(v, 5) FROM w, s")
+@query(f"WITH {MAT}, s AS (SELECT max(i) + 1 AS r, max(j) + 1 AS c FROM m), w AS (SELECT i, j, v FROM m UNION ALL SELECT i, j + c, v FROM m, s) SELECT i, j, round(v, 5) + 0::DOUBLE AS v FROM w UNION ALL SELECT i + r, j, round(v, 5) + 0::DOUBLE FROM w, s")
 def mat_concat(spark, d):
     m = mat(spark, d)
     rows, columns, _ = M.shape(m).first()

@@ -88,10 +88,10 @@ def nmf_loss(spark, d):
 
 
 def _spread(side: str, rows: DataFrame) -> DataFrame:
-    return rows.select(F.lit(side).alias("side"), "id", *(F.round(F.get(rows.columns[-1], F.lit(k)), 4).alias(f"g{k}") for k in range(RANK)))
+    return rows.select(F.lit(side).alias("side"), "id", *(F.round(F.get(rows.columns[-1], F.lit(k)), 7).alias(f"g{k}") for k in range(RANK)))
 
 
-ROUND = ", ".join(f"round(g{k}, 4) AS g{k}" for k in range(RANK))
+ROUND = ", ".join(f"round(g{k}, 7) + 0::DOUBLE AS g{k}" for k in range(RANK))
 
 
 @query(f"WITH {ERR} SELECT 'row' AS side, id, {ROUND} FROM (SELECT i AS id, {GRADS.format('r', 'l')} FROM e GROUP BY 1) UNION ALL SELECT 'column', id, {ROUND} FROM (SELECT j AS id, {GRADS.format('l', 'r')} FROM e GROUP BY 1)")
@@ -101,7 +101,7 @@ def nmf_gradient(spark, d):
     return _spread("row", a).union(_spread("column", b))
 
 
-MOVED = ", ".join(f"round(least(greatest((({{0}} * 31 + {k * 17}) % 100) / 100.0::DOUBLE - {STEP}::DOUBLE * g{k}, 0), 5), 4) AS g{k}" for k in range(RANK))
+MOVED = ", ".join(f"round(least(greatest((({{0}} * 31 + {k * 17}) % 100) / 100.0::DOUBLE - {STEP}::DOUBLE * g{k}, 0), 5), 7) + 0::DOUBLE AS g{k}" for k in range(RANK))
 
 
 @query(f"WITH {ERR} SELECT 'row' AS side, id, {MOVED.format('id')} FROM (SELECT i AS id, {GRADS.format('r', 'l')} FROM e GROUP BY 1) UNION ALL SELECT 'column', id, {MOVED.format('id')} FROM (SELECT j AS id, {GRADS.format('l', 'r')} FROM e GROUP BY 1)")
@@ -215,7 +215,7 @@ def _tree(spark, d) -> dict:
     return gbt.grow(_gradients(spark, d).select("g", "features"), TYPES, 3, LEAF, LAM, GAMMA)
 
 
-@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_quantity - 0.1::DOUBLE * CASE WHEN l_discount <= 0.05::DOUBLE THEN 20 ELSE 30 END, 6) AS residual, round(-2 * (l_quantity - 0.1::DOUBLE * CASE WHEN l_discount <= 0.05::DOUBLE THEN 20 ELSE 30 END), 6) AS g FROM lineitem")
+@query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_quantity - 0.1::DOUBLE * CASE WHEN l_discount <= 0.05::DOUBLE THEN 20 ELSE 30 END, 6) AS residual, round(-2 * (l_quantity - 0.1::DOUBLE * CASE WHEN l_discount <= 0.05::DOUBLE THEN 20 ELSE 30 END), 6) + 0::DOUBLE AS g FROM lineitem")
 def gbt_residual(spark, d):
     r = gbt.residuals(rows(spark, d), [FIRST], TYPES, RATE_T, F.col("label"))
     return r.select("l_orderkey", "l_linenumber", F.round("residual", 6).alias("residual"), F.round("g", 6).alias("g"))

@@ -21,20 +21,20 @@ def batches(spark, d) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("source"), F.dayofmonth("ts").cast("long").alias("epoch"), F.col("event_id").alias("batch"), items.alias("items"), v.alias("total_s"), (v / 4).alias("pull_s"), (v / 8).alias("push_s"))
 
 
-@query(f"WITH {BATCH} SELECT batch, source, round(total_s - pull_s - push_s, 4) AS comp_s, round(CASE WHEN total_s <> 0 THEN items / total_s END, 4) AS rate FROM b")
+@query(f"WITH {BATCH} SELECT batch, source, round(total_s - pull_s - push_s, 7) AS comp_s, round(CASE WHEN total_s <> 0 THEN items / total_s END, 4) AS rate FROM b")
 def batch_metrics(spark, d):
-    return X.batch_metrics(batches(spark, d)).select("batch", "source", F.round("comp_s", 4).alias("comp_s"), F.round("rate", 4).alias("rate"))
+    return X.batch_metrics(batches(spark, d)).select("batch", "source", F.round("comp_s", 7).alias("comp_s"), F.round("rate", 4).alias("rate"))
 
 
-@query(f"WITH {BATCH} SELECT source, epoch, count(*) AS batches, CAST(sum(items) AS BIGINT) AS items, round(sum(total_s), 3) AS total_s, round(sum(total_s - pull_s - push_s), 3) AS comp_s FROM b GROUP BY 1, 2")
+@query(f"WITH {BATCH} SELECT source, epoch, count(*) AS batches, CAST(sum(items) AS BIGINT) AS items, round(sum(total_s), 6) AS total_s, round(sum(total_s - pull_s - push_s), 6) AS comp_s FROM b GROUP BY 1, 2")
 def epoch_metrics(spark, d):
-    return X.epoch_metrics(batches(spark, d)).select("source", "epoch", "batches", "items", F.round("total_s", 3).alias("total_s"), F.round("comp_s", 3).alias("comp_s"))
+    return X.epoch_metrics(batches(spark, d)).select("source", "epoch", "batches", "items", F.round("total_s", 6).alias("total_s"), F.round("comp_s", 6).alias("comp_s"))
 
 
-@query(f"WITH {BATCH} SELECT source, round(sum(total_s), 3) AS total_s, round(sum(total_s) / count(*), 4) AS s_per_record, round(sum(total_s) / sum(items), 5) AS s_per_element FROM b GROUP BY 1")
+@query(f"WITH {BATCH} SELECT source, round(sum(total_s), 6) AS total_s, round(sum(total_s) / count(*), 4) AS s_per_record, round(sum(total_s) / sum(items), 5) AS s_per_element FROM b GROUP BY 1")
 def tracer_avg(spark, d):
     t = X.tracer(batches(spark, d), "source", "total_s", "items")
-    return t.select("source", F.round("total_s", 3).alias("total_s"), F.round("s_per_record", 4).alias("s_per_record"), F.round("s_per_element", 5).alias("s_per_element"))
+    return t.select("source", F.round("total_s", 6).alias("total_s"), F.round("s_per_record", 4).alias("s_per_record"), F.round("s_per_element", 5).alias("s_per_element"))
 
 
 @query(f"WITH {BATCH}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY batch) AS rn FROM b), k AS (SELECT * FROM r WHERE rn > 3) SELECT source, batch, items FROM k WHERE (SELECT count(DISTINCT source) FROM k) = (SELECT count(DISTINCT source) FROM b)")
@@ -52,9 +52,9 @@ def metrics_series(spark, d):
     return X.series(table(spark, d, "events"), "user_id", 8).select("event_id", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {BATCH} SELECT epoch, CAST(sum(items) AS BIGINT) AS items, round(sum(pull_s), 3) AS pull_s FROM b GROUP BY 1")
+@query(f"WITH {BATCH} SELECT epoch, CAST(sum(items) AS BIGINT) AS items, round(sum(pull_s), 6) AS pull_s FROM b GROUP BY 1")
 def server_rollup(spark, d):
-    return X.server_rollup(batches(spark, d), ["items", "pull_s"], "epoch").withColumn("pull_s", F.round("pull_s", 3))
+    return X.server_rollup(batches(spark, d), ["items", "pull_s"], "epoch").withColumn("pull_s", F.round("pull_s", 6))
 
 
 @query(f"WITH {BATCH}, w AS (SELECT source, sum(items) AS p, sum(items * 8) AS b, count(*) AS n FROM b GROUP BY 1) SELECT round(sum(b) / sum(p), 5) AS avg_pull_bytes, CAST(floor(avg(floor(p / n))) AS BIGINT) AS pulls_per_batch FROM w")

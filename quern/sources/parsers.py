@@ -36,16 +36,15 @@ def long_form(instances: DataFrame, keep: list[str]) -> DataFrame:
 
 def feature_types(lines: DataFrame) -> DataFrame:
     """`idx:type ...` to (idx, type): 0 continuous, otherwise a number of categories; the last entry is the label's."""
-    pair = F.split(F.explode(F.split(F.trim("value"), r"\s+")), ":")
-    return content(lines).select(pair.alias("p")).select(F.element_at("p", 1).cast("int").alias("idx"), F.element_at("p", 2).cast("int").alias("type"))
+    return content(lines).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("p")).select(F.split("p", ":").alias("p")).select(F.element_at("p", 1).cast("int").alias("idx"), F.element_at("p", 2).cast("int").alias("type"))
 
 
 def ratings(lines: DataFrame) -> DataFrame:
     """`row: col,val col,val` to (i, j, v): indices from 1, values not negative."""
     halves = F.split("value", ":")
     row = F.trim(F.element_at(halves, 1)).cast("int")
-    cell = F.split(F.explode(F.filter(F.split(F.trim(F.element_at(halves, 2)), r"\s+"), lambda x: x != "")), ",")
-    d = content(lines).select(row.alias("i"), cell.alias("c")).select("i", F.element_at("c", 1).cast("int").alias("j"), F.element_at("c", 2).cast("double").alias("v"))
+    cells = F.filter(F.split(F.trim(F.element_at(halves, 2)), r"\s+"), lambda x: x != "")
+    d = content(lines).select(row.alias("i"), F.explode(cells).alias("c")).select("i", F.split("c", ",").alias("c")).select("i", F.element_at("c", 1).cast("int").alias("j"), F.element_at("c", 2).cast("double").alias("v"))
     good = (F.col("i") >= 1) & (F.col("j") >= 1) & (F.col("v") >= 0)
     return d.select("i", "j", checked(good, F.col("v"), "indices are at least 1 and values at least 0").alias("v"))
 
@@ -68,8 +67,7 @@ def weighted_adjacency(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`src dst w dst w ...` to (vertices, edges with weight); only sources of edges are vertices."""
     parts = F.transform(F.filter(F.split(F.trim("value"), " "), lambda x: x != ""), lambda x: x.cast("long"))
     rows = content(lines).select(parts.alias("p")).where(F.size("p") >= 3)
-    at = F.explode(F.sequence(F.lit(2), F.size("p") - 1, F.lit(2)))
-    edges = rows.select("p", at.alias("k")).select(F.element_at("p", 1).alias("src"), F.expr("element_at(p, k)").alias("dst"), F.expr("element_at(p, k + 1)").alias("weight"))
+    edges = rows.select("p", F.explode(F.sequence(F.lit(2), F.size("p") - 1, F.lit(2))).alias("k")).select(F.element_at("p", 1).alias("src"), F.expr("element_at(p, k)").alias("dst"), F.expr("element_at(p, k + 1)").alias("weight"))
     return rows.select(F.element_at("p", 1).alias("id")).distinct(), edges
 
 
