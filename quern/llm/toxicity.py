@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,10 @@ class Model:
 
 
 TYPES, HITS = 6, 12
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5)
 
 
-def costs(counts: np.ndarray, words: dict[str, float], share: float = 0.02) -> np.ndarray:
+def costs(counts: np.ndarray, words: dict[str, float], share: float = 0.1) -> np.ndarray:
     """-ln P(c | a, b), smoothed by the bigram; the given words have `share` of all trigrams."""
     counts = counts.astype(float).reshape(A, A, A).copy()
     counts[:, :, 27] *= 0.1  # other scripts' letters are no guide for restored ones
@@ -90,6 +91,8 @@ class Restorer:
         self.cost = model.cost.tolist() if model.cost is not None else None
         self.memo: dict[str, str] = {}
         self.hits: dict[str, tuple[str, ...]] = {}
+        begins = {n: {m[:-1] for m in model.markers if len(m) == n + 1 and m[-1] == "*"} for n in BEGINNINGS}
+        self.begins = [(n, b) for n, b in begins.items() if b]
 
     def options(self, run: str, n: int) -> list[tuple[str, float]]:
         """What n times the character `run` may stand for."""
@@ -141,12 +144,14 @@ class Restorer:
 
     def marker(self, word: str) -> str | None:
         """The marker that a word has."""
-        markers = self.model.markers
-        if word in markers:
+        if word in self.model.markers:
             return word
-        if word[-1:] == "s" and word[:-1] in markers:
+        if word[-1:] == "s" and word[:-1] in self.model.markers:
             return word[:-1]
-        return next((b for n in BEGINNINGS if (b := word[:n] + "*") in markers and len(word) > n), None)
+        for n, begins in self.begins:
+            if word[:n] in begins and len(word) > n:
+                return word[:n] + "*"
+        return None
 
     def words(self, text: str) -> list[str]:
         tokens = text.lower().split()
@@ -185,7 +190,9 @@ class Restorer:
         if len(self.hits) > self.limit:
             self.hits = {}
         for t in set(tokens).difference(self.hits):
-            self.hits[t] = tuple(m for w in self.word(t).split() if (m := self.marker(w)))
+            w = self.word(t)
+            m = self.marker(w)
+            self.hits[t] = tuple(m for x in w.split() if (m := self.marker(x))) if " " in w else (m,) if m else ()
         found = [m for ms in filter(None, map(self.hits.__getitem__, tokens)) for m in ms]
         if _SPACED.search(text):
             found += [m for w in self.spaced(tokens) if (m := self.marker(w))]
@@ -227,11 +234,16 @@ def count_words(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = Restorer(Model())
+        begins: dict[str, tuple[str, ...]] = {}
         for batch in slices(batches, "_text"):
             sides = Counter(), Counter()
             for t, label in zip(texts(batch, "_text"), batch.column(1).to_pylist()):
                 words = set(plain.words(t))
-                sides[label].update(words | {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) > n})
+                if len(begins) > plain.limit:
+                    begins.clear()
+                begins.update((w, tuple(w[:n] + "*" for n in BEGINNINGS if len(w) > n)) for w in words.difference(begins))
+                sides[label].update(words)
+                sides[label].update(set(chain.from_iterable(map(begins.__getitem__, words))))
             both = list(sides[1] | sides[0])
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([sides[1][w] for w in both], pa.int64()), pa.array([sides[0][w] for w in both], pa.int64())], names=["word", "toxic", "other"])
 
