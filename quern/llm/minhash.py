@@ -8,9 +8,9 @@ branching with probability 1 - s, so 8 trees miss 0.2**8 of the pairs at 0.8; fu
 probability 1 - (1 - s)**2 each.
 
 Nodes still large after `depth` branchings hold documents that agree nearly everywhere, of which few pairs are needed to
-connect them: each is compared with the node's pivot; then those that links do not yet connect with most of the node
-are compared with all of it. What is compared is first the share of equal minwise tokens, 4.5 standard deviations
-below the threshold, then every pair's full sets, so that each link is exact. Equal sets are one representative
+connect them: each is compared with the node's pivot; then those that links do not yet connect with most of the others
+that share large nodes are compared with all of these, in blocks, on their full sets. Other pairs are compared first by the share of
+equal minwise tokens, 4.5 standard deviations below the threshold, then by their full sets, so that each link is exact. Equal sets are one representative
 throughout, found by a digest with partial aggregation. Links, components and sets stay on the executors.
 
 Texts without words, null among them, have the empty set and link with nothing. With fewer words than a shingle takes, the
@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -159,6 +160,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, broad
     return checkpoint(both.mapInArrow(check, "a long, b long"))
 
 
+def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool, few_nodes: bool, block: int = 1024) -> DataFrame:
+    """Links between documents of different labels that share a large node. mixed: node, rep, label.
+
+    Documents that nodes connect are a family. Those outside the family's main label, in blocks, meet all of the family, in blocks: a pair of
+    blocks is one task's bounded work, on full sets, and gives at most one link for a document and a label.
+    """
+    least = mixed.groupBy("node").agg(F.min("rep").alias("m"))
+    family = components(lookup(mixed, least, "node", "rep", few_nodes).select("rep", "m").distinct(), "rep", "m").withColumnRenamed("component_id", "family")
+    members = checkpoint(mixed.select("rep", "label").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "label", "family"))
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("c"))
+    sizes = checkpoint(by_label.groupBy("family").agg(F.max(F.struct("c", "label")).getField("label").alias("main"), F.max("c").alias("most"), F.sum("c").alias("n")).select("family", "main", F.ceil(F.col("n") / block).alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).alias("mb")).where("mb > 0"))
+    ids = checkpoint(lookup(members, sizes, "family", "rep", few_nodes))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in texts(batch, "_text")], pa.binary())], names=["rep", "set"])
+
+    wanted = docs.join(F.broadcast(ids.select(F.col("rep").alias("id"))) if few else ids.select(F.col("rep").alias("id")), "id", "left_semi")
+    made = wanted.mapInArrow(sets, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set"))
+    full = checkpoint(made.join(F.broadcast(ids) if few else ids, "rep"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = full.select("family", own("nb").alias("i"), upto("mb").alias("j"), F.lit(0).alias("side"), "rep", "label", "set")
+    odd = full.where("label <> main").select("family", upto("nb").alias("i"), own("mb").alias("j"), F.lit(1).alias("side"), "rep", "label", "set")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = group[group["side"] == 1], group[group["side"] == 0]
+        out = []
+        if len(a) and len(b):
+            parts = [np.frombuffer(bytes(x), np.uint64) for x in b["set"]]
+            size = np.array([len(x) for x in parts])
+            known, code = np.unique(np.concatenate(parts), return_inverse=True)
+            starts = np.cumsum(size) - size
+            ids_b, labels = b["rep"].to_numpy(), b["label"].to_numpy()
+            for rep, mine, data in zip(a["rep"], a["label"], a["set"]):
+                x = np.frombuffer(bytes(data), np.uint64)
+                at = np.searchsorted(known, x)
+                at = at[at < len(known)]
+                mark = np.zeros(len(known), np.int32)
+                mark[at[np.isin(known[at], x)]] = 1
+                both = np.add.reduceat(mark[code], starts)
+                link = (labels != mine) & (100 * both >= percent * (size + len(x) - both))
+                _, first = np.unique(labels[link], return_index=True)
+                out += [(rep, other) for other in ids_b[link][first]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return every.union(odd).groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, leaf: int = 32, depth: int = 3, fan: int = 2, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of key, n_shingles, component_id, kept - one for each row of `docs`."""
     threshold = percent / 100
@@ -185,8 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         members = checkpoint(large.select(F.explode(branch).alias("node"), "rep", "n", "sig"))
     large = checkpoint(large.select("node", "rep", "n", "sig"))
 
-    # large nodes: each document with the pivot, the same one for the same documents in whatever node
-    order = F.struct(F.xxhash64("rep").alias("o"), F.col("rep").alias("p"))
+    # large nodes: each document with the pivot, the one that is in most large nodes: it has most of the common tokens
+    central = large.groupBy("rep").agg(F.count("*").alias("d"))
+    large = checkpoint(lookup(large, central, "rep", "node", few))
+    order = F.struct((-F.col("d")).alias("d"), F.xxhash64("rep").alias("o"), F.col("rep").alias("p"))
     pivots = checkpoint(large.groupBy("node").agg(F.min(order).getField("p").alias("p")).join(reps.select(F.col("rep").alias("p"), F.col("sig").alias("sig_b")), "p"))
     few_nodes = pivots.count() <= broadcast_rows // 10
     stars = lookup(large, pivots, "node", "rep", few_nodes).where("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"), F.col("sig").alias("sig_a"), "sig_b").dropDuplicates(["a", "b"])
@@ -197,20 +249,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     links = _verified(checkpoint(found.distinct()), source, words, percent, broadcast_rows)
     linked = components(links)
 
-    # of large nodes, what links do not connect with most of its node meets all of the node
+    # of large nodes, what links do not connect with most of the others meets all of them
     label = lookup_left(large, linked, few)
     counts = label.groupBy("node", "label").agg(F.count("*").alias("c"))
-    most = checkpoint(counts.groupBy("node").agg(F.max(F.struct("c", "label")).getField("label").alias("main"), F.count("*").alias("labels")).where("labels > 1"))
-    if not most.isEmpty():
-        mixed = checkpoint(lookup(label, most, "node", "rep", few_nodes))
-        odd = mixed.where("label <> main").select("node", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sig_a"), F.col("label").alias("la"))
-        meet = odd.join(mixed.select("node", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sig_b"), F.col("label").alias("lb")), "node")
-        meet = meet.where((F.col("la") != F.col("lb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-        more = _filter_pairs(meet, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = checkpoint(more)
+    mixed_nodes = checkpoint(counts.groupBy("node").agg(F.count("*").alias("labels")).where("labels > 1").select("node"))
+    if not mixed_nodes.isEmpty():
+        mixed = checkpoint(lookup(label.select("node", "rep", "label"), mixed_nodes, "node", "rep", few_nodes))
+        more = checkpoint(_rest(mixed, source, words, percent, few, few_nodes))
         if not more.isEmpty():
-            links = links.union(_verified(more, source, words, percent, broadcast_rows))
-            linked = components(links)
+            linked = components(links.union(more))
 
     state = reps.select("key", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
     full = lookup(every.where("n > 0").select("id", "n", "key"), state, "key", "id", few).select("id", "n", "component_id")
