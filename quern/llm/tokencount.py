@@ -2,7 +2,8 @@
 
 The distinct words of a worker's texts go into a trie. A node holds the forward score of its prefix - the best sum of
 piece log-probabilities over all ways to cut it - and that cut's number of pieces, so a prefix that many words share is
-scored once; a word's last node gives its count, which is kept for the next time that the word occurs. The trie is
+scored once; a word's last node gives its count, which is kept for the next time that the word occurs. Pieces that end at
+a place are found backwards in a set of all ends of pieces, so the search stops where no piece can be longer. The trie is
 dropped and begun anew when it reaches `nodes` nodes: results stay the same, and memory is bounded. Nothing is shuffled.
 
 A piece's log-probability is Zipf's, from its place in the vocabulary. A character that no piece covers counts as its
@@ -13,6 +14,7 @@ depth without being stored; rows stand alone, so ties, repeated rows and empty t
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -36,34 +38,43 @@ def unigram_scores(model: bytes) -> dict[str, float]:
 
 
 class TrieCounter(dict):
-    """word -> number of tokens. A node is [children, score, tokens]."""
+    """word -> number of tokens. A node is [children or None, (score, tokens)]."""
 
     DEPTH = 48
 
-    def __init__(self, scores: dict[str, float], nodes: int = 300_000):
+    def __init__(self, scores: dict[str, float], nodes: int = 800_000):
         super().__init__()
-        self.scores, self.limit = scores, nodes
-        self.longest = max(map(len, scores), default=1)
+        self.limit = nodes
+        ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
+        self.scores = ends | scores  # None: no piece, but the end of one
         self.byte = min(scores.values(), default=0.0) - 1.0
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.root, self.size = [{}, 0.0, 0], 1
+        self.root, self.size = [{}, (0.0, 0)], 1
 
     def step(self, s: str, path: list[tuple[float, int]]) -> tuple[float, int]:
         """The forward score of s[:len(path)] from those of its shorter prefixes."""
         end, get = len(path), self.scores.get
-        n = len(s[end - 1].encode())
-        score, tokens = path[-1]
-        best, count = score + n * self.byte, tokens + n
-        for start in range(max(0, end - self.longest), end):
-            if (p := get(s[start:end])) is not None:
+        best, count = -math.inf, 0
+        start = end - 1
+        p = get(s[start:end], 0)  # 0: not even the end of a piece
+        while p != 0:
+            if p is not None:
                 score, tokens = path[start]
                 score += p
-                tokens += 1
-                if score > best or score == best and tokens < count:
-                    best, count = score, tokens
+                if score > best or score == best and tokens + 1 < count:
+                    best, count = score, tokens + 1
+            start -= 1
+            if start < 0:
+                break
+            p = get(s[start:end], 0)
+        n = len(s[end - 1].encode("utf-8", "surrogatepass"))
+        score, tokens = path[-1]
+        score += n * self.byte
+        if score > best or score == best and tokens + n < count:
+            return score, tokens + n
         return best, count
 
     def __missing__(self, word: str) -> int:
@@ -71,12 +82,15 @@ class TrieCounter(dict):
             self.reset()
         s, node, path = MARK + word, self.root, [(0.0, 0)]
         for c in s[: self.DEPTH]:
-            child = node[0].get(c)
+            children = node[0]
+            if children is None:
+                children = node[0] = {}
+            child = children.get(c)
             if child is None:
-                child = node[0][c] = [{}, *self.step(s, path)]
+                child = children[c] = [None, self.step(s, path)]
                 self.size += 1
             node = child
-            path.append((child[1], child[2]))
+            path.append(child[1])
         while len(path) <= len(s):
             path.append(self.step(s, path))
         if len(word) <= self.DEPTH:
@@ -97,6 +111,7 @@ def count_tokens(docs: DataFrame, model: bytes, key: str = "doc_id", text: str =
             _counters.clear()
             _counters[at] = TrieCounter(unigram_scores(shared.value))
         get = _counters[at].__getitem__
+        gc.disable()  # a trie is many objects without cycles
         for batch in slices(batches, "_text"):
             words, tokens = [], []
             for t in texts(batch, "_text"):
