@@ -209,7 +209,7 @@ def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool
     return every.union(odd).groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, leaf: int = 32, depth: int = 3, fan: int = 2, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, leaf: int = 32, depth: int = 2, fan: int = 2, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of key, n_shingles, component_id, kept - one for each row of `docs`."""
     threshold = percent / 100
     least = threshold - 4.5 * (threshold * (1 - threshold) / LANES) ** 0.5
