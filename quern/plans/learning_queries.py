@@ -87,8 +87,8 @@ def nmf_loss(spark, d):
     return nmf.loss(r, *_factors(r)).select(F.round("loss", 1).alias("loss"))
 
 
-def _spread(side: str, rows: DataFrame) -> DataFrame:
-    return rows.select(F.lit(side).alias("side"), "id", *(F.round(F.get(rows.columns[-1], F.lit(k)), 7).alias(f"g{k}") for k in range(RANK)))
+def _spread(side: str, rows: DataFrame, places: int = 7) -> DataFrame:
+    return rows.select(F.lit(side).alias("side"), "id", *(F.round(F.get(rows.columns[-1], F.lit(k)), places).alias(f"g{k}") for k in range(RANK)))
 
 
 ROUND = ", ".join(f"round(g{k}, 7) + 0::DOUBLE AS g{k}" for k in range(RANK))
@@ -101,14 +101,14 @@ def nmf_gradient(spark, d):
     return _spread("row", a).union(_spread("column", b))
 
 
-MOVED = ", ".join(f"round(least(greatest((({{0}} * 31 + {k * 17}) % 100) / 100.0::DOUBLE - {STEP}::DOUBLE * g{k}, 0), 5), 7) + 0::DOUBLE AS g{k}" for k in range(RANK))
+MOVED = ", ".join(f"round(least(greatest((({{0}} * 31 + {k * 17}) % 100) / 100.0::DOUBLE - {STEP}::DOUBLE * g{k}, 0), 5), 12) + 0::DOUBLE AS g{k}" for k in range(RANK))
 
 
 @query(f"WITH {ERR} SELECT 'row' AS side, id, {MOVED.format('id')} FROM (SELECT i AS id, {GRADS.format('r', 'l')} FROM e GROUP BY 1) UNION ALL SELECT 'column', id, {MOVED.format('id')} FROM (SELECT j AS id, {GRADS.format('l', 'r')} FROM e GROUP BY 1)")
 def nmf_train(spark, d):
     r = ratings(spark, d)
     a, b = nmf.train(r, RANK, 1, STEP, LAMBDA, 5.0, start=_factors(r))
-    return _spread("row", a).union(_spread("column", b))
+    return _spread("row", a, 12).union(_spread("column", b, 12))
 
 
 # latent Dirichlet allocation over the documents
