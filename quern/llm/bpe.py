@@ -14,6 +14,7 @@ columns need no care, as rows stand alone and only key and text are read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 NONE = np.int32(2**31 - 1)
+_LONE = re.compile(r"\S++(?:[ \n]\S++)*+")  # no white space but lone spaces and lone line feeds, none at the ends
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -131,7 +133,7 @@ class BpeEncoder:
     @staticmethod
     def stretches(text: str) -> list[str]:
         """The text cut where a match of a byte-level BPE pattern surely starts: at a lone space before a word, around a lone line feed."""
-        if "\0" in text or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if "\0" in text or not _LONE.fullmatch(text):
             return regex.split(r"(?<=\S)(?= \S)", text) if text else []
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
