@@ -27,7 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, texts
@@ -229,6 +229,16 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def _distinct(rows: DataFrame, text: Column) -> DataFrame:
+    """(_text, _label): each distinct text once, toxic if any of its rows is."""
+    return rows.groupBy(text.alias("_text")).agg(F.max("_label").alias("_label"))
+
+
+def count_texts(rows: DataFrame) -> dict[int, int]:
+    """The number of distinct texts of each label, as count_words() takes them; texts are told apart by their MD5, so that they are not shuffled again."""
+    return {r[0]: r[1] for r in _distinct(rows, F.md5(F.col("_text").cast("binary"))).groupBy("_label").count().collect()}
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """(word, toxic, other): in how many distinct texts of either label a word or beginning occurs. rows: _text, _label."""
 
@@ -247,8 +257,7 @@ def count_words(rows: DataFrame) -> DataFrame:
             both = list(sides[1] | sides[0])
             yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([sides[1][w] for w in both], pa.int64()), pa.array([sides[0][w] for w in both], pa.int64())], names=["word", "toxic", "other"])
 
-    distinct = rows.groupBy("_text").agg(F.max("_label").alias("_label"))
-    return _map(distinct, run, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return _map(_distinct(rows, F.col("_text")), run, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def choose_markers(counts: DataFrame, toxic: int, other: int, markers: int = 500, odds: float = 20.0) -> dict[str, float]:
@@ -300,7 +309,7 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str =
     """docs: all texts, for the character model; labelled: rows of text and label (0 or 1; others are passed over)."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(label).cast("int").alias("_label"))
     counts = count_trigrams(docs, text)
-    sizes = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
+    sizes = count_texts(rows)
     words = choose_markers(count_words(rows), sizes.get(1, 0), sizes.get(0, 0), markers)
     model = Model(words, cost=costs(counts, words))
     table = _features(rows, ["_label"], model).groupBy(F.least("types", F.lit(TYPES)).alias("types"), F.least("hits", F.lit(HITS)).alias("hits"), "_label").count().collect()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import public_tokenizers as P
 import tiktoken
-from quern.llm import bpe
+
+from quern.llm import bpe, toxicity
 
 RANKS = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
 
@@ -13,8 +16,22 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def word(rng):
+    return "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8)))
+
+
 def test_bpe_runs_of_white_space_balanced_by_other_kinds(spark):
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     texts = ["a\n\nb\tc", "a b\tc\td", "a  b\rc", "a \tb", " a", "a\n", "a b  c", "a\x1cb  c"]
     got = {r["doc_id"]: r["ids"] for r in bpe.encode(docs(spark, enumerate(texts)), RANKS, P.PATTERN).collect()}
     assert [got[i] for i in range(len(texts))] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_markers_do_not_depend_on_copies(spark):
+    rng = random.Random(1)
+    names = ["grobnak", "zilpert", "hadrosh", "mukelten"]
+    rows = [(" ".join([*(word(rng) for _ in range(20)), *[names[i // 4 % 4]] * (i % 4 == 0)]), int(i % 4 == 0)) for i in range(400)]
+    learned = lambda more: toxicity.learn(*[spark.createDataFrame(rows + more, "text string, label int")] * 2).markers
+    plain = learned([])
+    assert set(names) <= set(plain)
+    assert learned([rows[0]] * 12_000) == plain and learned([rows[1]] * 12_000) == plain
