@@ -7,7 +7,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 
-from quern.llm import bpe, toxicity
+from quern.llm import bpe, htmltext, toxicity
 
 RANKS = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
 
@@ -35,3 +35,10 @@ def test_markers_do_not_depend_on_copies(spark):
     plain = learned([])
     assert set(names) <= set(plain)
     assert learned([rows[0]] * 12_000) == plain and learned([rows[1]] * 12_000) == plain
+
+
+def test_paragraphs_with_a_common_beginning_are_not_template(spark):
+    intro = "A standing introduction of the series. " * 8
+    page = "<html><body><div>Welcome</div><div><p>{intro}Own text {n}</p></div></body></html>"
+    pages = spark.createDataFrame([(i, "http://a.example.com/", page.format(intro=intro, n=i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r["text"] for r in htmltext.extract(pages).collect()} == {f"{intro}Own text {i}" for i in range(6)}
