@@ -7,7 +7,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 
-from quern.llm import bpe, htmltext, toxicity
+from quern.llm import bpe, htmltext, linededup, toxicity
 
 RANKS = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
 
@@ -42,3 +42,20 @@ def test_paragraphs_with_a_common_beginning_are_not_template(spark):
     page = "<html><body><div>Welcome</div><div><p>{intro}Own text {n}</p></div></body></html>"
     pages = spark.createDataFrame([(i, "http://a.example.com/", page.format(intro=intro, n=i)) for i in range(6)], "page_id long, url string, html string")
     assert {r["text"] for r in htmltext.extract(pages).collect()} == {f"{intro}Own text {i}" for i in range(6)}
+
+
+def test_line_dedup_tells_rows_of_one_key_apart(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(word(rng) + str(rng.randint(0, 999)) for _ in range(10))
+    common, near = line(), line()
+    rows = []
+    for k in (None, None, None, 7, 7, 7, 8):
+        rows.append((k, "\n".join([line(), rng.choice([common, near + " tail", near]), line()])))
+    rows += [(k, "\n".join(line() for _ in range(3))) for k in (None, None, 7)] + [rows[0], rows[3]]
+    got = linededup.dedup_lines(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    kept = {(r["doc_id"], x) for r in got for x in r["text"].split("\n")}
+    own = {x for _, t in rows for x in t.split("\n")} - {common, near, near + " tail"}
+    assert own <= {x for _, x in kept}  # no line without a match goes
+    left = [x for r in {(r["doc_id"], r["text"]) for r in got} for x in r[1].split("\n") if x not in own]
+    assert sorted(x[: len(near)] for x in left) == sorted({common[: len(near)], near})
