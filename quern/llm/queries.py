@@ -60,7 +60,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
-    d = dedup_lines(table(spark, sf_dir, "documents"))
+    d = dedup_lines(table(spark, sf_dir, "documents"), least_words=1)
     return d.select("doc_id", "text", F.col("_removed").cast("long").alias("n_removed"))
 
 

@@ -59,3 +59,23 @@ def test_line_dedup_tells_rows_of_one_key_apart(spark):
     assert own <= {x for _, x in kept}  # no line without a match goes
     left = [x for r in {(r["doc_id"], r["text"]) for r in got} for x in r[1].split("\n") if x not in own]
     assert sorted(x[: len(near)] for x in left) == sorted({common[: len(near)], near})
+
+
+def test_line_dedup_takes_lines_of_any_length(spark, tmp_path):
+    from quern.llm.queries import QUERIES
+
+    rng = random.Random(4)
+    pool = [" ".join(word(rng) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["日本語の長い文です", "a", "a a", "b a", "a b c d", "a b c d e", "A b c", "a b c d f"]
+    texts = [None, "", "\n\n", "a\n\na\n", *("\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(80))]
+    seen, want = [], {}
+    for k, t in enumerate(texts):
+        kept = []
+        for x in (t or "").split("\n"):
+            s = frozenset(x.lower().split())
+            if not any(s and len(s & y) >= 0.8 * len(s | y) - 1e-9 for y in seen):
+                kept.append(x)
+            seen.append(s)
+        want[k] = None if t is None else "\n".join(kept)
+    docs(spark, enumerate(texts)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and sum(r["n_removed"] for r in got) > 200
