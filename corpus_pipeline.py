@@ -1,7 +1,8 @@
 """Corpus preparation: toxicity, line dedup, near-dedup and packing, each stage on what the one before it kept.
 
-Nulls, empty texts, ties, repeated rows, empty tables and further columns are treated as each stage's operator says. Rows
-without a score of 0.7 stay; line dedup edits texts and drops no row; of a group of near copies the row of the least doc_id stays.
+Nulls, empty texts, ties, repeated rows, empty tables and further columns are treated as each stage's operator says. A verdict
+stays with its row, whatever other rows have the same doc_id or none. Rows without a score of 0.7 stay; line dedup edits texts and
+drops no row; of a group of near copies the row of the least doc_id stays.
 """
 
 from __future__ import annotations
@@ -11,24 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.linededup import dedup_lines
-from quern.llm.minhash import near_duplicates
+from quern.llm.minhash import without_near_copies
 from quern.llm.packing import pack
 from quern.llm.toxicity import learn_by_key, score
 
-BROADCAST_ROWS = 1_000_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the ids, which are broadcast up to a number of rows and else joined by shuffling."""
-    ids = ids.where("doc_id is not null").distinct()
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti").select(*docs.columns)
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.7; the model is learned from the labels of rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score(docs, learn_by_key(docs, labels))
-    return _without(docs, scored.where("score >= 0.7").select("doc_id"))
+    return score(docs, learn_by_key(docs, labels), others=docs.columns).where("score < 0.7").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
-    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    return without_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,10 @@ equal minwise tokens, 4.5 standard deviations below the threshold, then by their
 throughout, found by a digest with partial aggregation. Links, components and sets stay on the executors.
 
 Texts without words, null among them, have the empty set and link with nothing. With fewer words than a shingle takes, the
-whole sequence is one shingle. Only A-Z are lower-cased; words are split at ASCII white space. Repeated rows each get a row;
-of equal ids the same one stands for each; null ids count as the least id and are never reported as a component; an empty table gives
-an empty result. Very long texts are hashed whole.
+whole sequence is one shingle. Only A-Z are lower-cased; words are split at ASCII white space. Repeated rows each get a row.
+Inside, a row is named by a hash of its id and text, so that different texts of one id are documents of their own; ids are only reported.
+Of a component the rows of the least id are kept, and if these have different sets, those of one set; null ids count as the least id and are never
+reported as a component; an empty table gives an empty result. Very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -75,9 +76,9 @@ def _prepare(docs: DataFrame, words: int, trees: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 roots.append((m[:trees] >> np.uint64(1)).astype(np.int64).tolist())
                 sigs.append(((m >> np.uint64(20)) & np.uint64(0xFFFF)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "n", "key", "roots", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(roots, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["id", "doc", "n", "key", "roots", "sig"])
 
-    return docs.mapInArrow(run, "id long, n long, key binary, roots array<long>, sig binary")
+    return docs.mapInArrow(run, "id long, doc long, n long, key binary, roots array<long>, sig binary")
 
 
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -209,14 +210,39 @@ def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool
     return every.union(odd).groupBy("family", "i", "j").applyInPandas(meet, "a long, b long")
 
 
+NULL = -(2**63)
+
+
+def _named(docs: DataFrame, key: str, text: str) -> tuple:
+    """The key, a null one least, the text, and the row's name: a hash of both."""
+    doc, value = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NULL)), F.col(f"`{text}`").cast("string")
+    return doc, value, F.xxhash64(doc, value)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, leaf: int = 32, depth: int = 2, fan: int = 2, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of key, n_shingles, component_id, kept - one for each row of `docs`."""
+    judged = _judged(docs, words, percent, trees, leaf, depth, fan, key, text, broadcast_rows)
+    back = lambda c: F.nullif(F.col(c), F.lit(NULL))
+    return judged.select(back("doc").alias(key), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), "kept")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, leaf: int = 32, depth: int = 2, fan: int = 2, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of `docs` that are kept; a verdict is joined back by key and text."""
+    gone = checkpoint(_judged(docs, words, percent, trees, leaf, depth, fan, key, text, broadcast_rows).where("not kept").select(F.col("doc").alias("_doc"), F.col("id").alias("_name")).distinct())
+    doc, _, name = _named(docs, key, text)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("_doc"), name.alias("_name"))
+    kept = rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, ["_name", "_doc"], "left_anti")
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _judged(docs: DataFrame, words: int, percent: int, trees: int, leaf: int, depth: int, fan: int, key: str, text: str, broadcast_rows: int) -> DataFrame:
+    """(id, doc, n, component_id, kept) for each row: its name, key, set size, the least key of its component, and whether it stands for that."""
     threshold = percent / 100
     least = threshold - 4.5 * (threshold * (1 - threshold) / LANES) ** 0.5
-    null = -(2**63)
-    source = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(null)).alias("id"), F.col(f"`{text}`").cast("string").alias("_text"))
+    doc, value, name = _named(docs, key, text)
+    source = docs.select(name.alias("id"), value.alias("_text"), doc.alias("doc"))
     every = checkpoint(_prepare(source, words, trees))
-    reps = checkpoint(every.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sig").alias("sig")))
+    reps = checkpoint(every.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sig").alias("sig")))
     few = reps.count() * trees <= 8 * broadcast_rows
 
     members = reps.select("rep", "n", "sig", F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("node"), "rep", "n", "sig")
@@ -259,11 +285,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         if not more.isEmpty():
             linked = components(links.union(more))
 
-    state = reps.select("key", "rep").join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    full = lookup(every.where("n > 0").select("id", "n", "key"), state, "key", "id", few).select("id", "n", "component_id")
-    full = full.union(every.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    back = lambda c: F.nullif(F.col(c), F.lit(null))
-    return full.select(back("id").alias(key), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
+    # of a component, the least key is reported, and of that key the set of the least digest stands for it
+    state = reps.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("key", "doc", F.coalesce("component_id", "rep").alias("c"))
+    shared = state.groupBy("c").agg(F.min(F.struct("doc", "key")).alias("first"))
+    state = lookup(checkpoint(state), checkpoint(shared), "c", "key", few).select("key", F.col("first.doc").alias("component_id"), (F.col("key") == F.col("first.key")).alias("own"))
+    full = lookup(every.where("n > 0").select("id", "doc", "n", "key"), state, "key", "id", few)
+    full = full.select("id", "doc", "n", "component_id", (F.col("own") & (F.col("doc") == F.col("component_id"))).alias("kept"))
+    return full.union(every.where("n = 0").select("id", "doc", "n", F.col("doc").alias("component_id"), F.lit(True).alias("kept")))
 
 
 def lookup_left(large: DataFrame, linked: DataFrame, few: bool) -> DataFrame:

@@ -317,9 +317,10 @@ def learn(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str =
     return model
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", restored: bool = False) -> DataFrame:
-    """Rows of `key`, types, hits, score, and the restored text if asked for."""
-    return _features(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("string").alias("_text")), [key], model, restored)
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", restored: bool = False, others: list[str] | None = None) -> DataFrame:
+    """Rows of `key`, the columns `others`, types, hits, score, and the restored text if asked for."""
+    keep = [key, *(c for c in others or () if c != key)]
+    return _features(docs.select(*(F.col(f"`{c}`").alias(c) for c in keep), F.col(f"`{text}`").cast("string").alias("_text")), keep, model, restored)
 
 
 def learn_by_key(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> Model:

@@ -7,7 +7,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 
-from quern.llm import bpe, htmltext, linededup, toxicity
+from quern.llm import bpe, htmltext, linededup, minhash, toxicity
 
 RANKS = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
 
@@ -79,3 +79,26 @@ def test_line_dedup_takes_lines_of_any_length(spark, tmp_path):
     docs(spark, enumerate(texts)).write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] for r in got} == want and sum(r["n_removed"] for r in got) > 200
+
+
+def test_near_copies_and_verdicts_by_row_not_by_id(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(6)
+    text = lambda: " ".join(word(rng) + str(rng.randint(0, 999)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(None, a), (None, b), (5, a + " more"), (6, b + " more"), (6, c), (7, text()), (7, c + " more"), (None, None), (None, a + " again")]
+    got = minhash.near_duplicates(docs(spark, rows), words=5).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got if r["n_shingles"]) == sorted(
+        [("5", "None", False), ("6", "None", False), ("6", "6", True), ("7", "7", True), ("7", "6", False)] + [("None", "None", k) for k in (True, True, False)]
+    )
+    left = {(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    first = left & {(None, a), (None, a + " again")}
+    assert len(first) == 1 and left - first == {(None, b), (6, c), rows[5], (None, None)}
+
+    rows = [(i, text() + " grobnak zilpert" * (i % 4 == 0)) for i in range(200)]
+    rows += [(None, "a clean text"), (None, "some grobnak and zilpert too"), (300, "another clean text"), (300, "with zilpert and grobnak")]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = pipeline.toxicity(spark, docs(spark, rows), str(tmp_path))
+    assert left.columns == docs(spark, rows).columns
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {*(r for r in rows[:200] if r[0] % 4), rows[200], rows[202]}
