@@ -19,6 +19,7 @@ is the share of toxic rows (0.5 without rows). Very long texts are processed who
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -113,7 +114,8 @@ class Restorer:
     def decode(self, token: str) -> str:
         """Viterbi: the cheapest way through the lattice of a token; a state is the last two classes."""
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for m in re.finditer(r"(.)\1*", token, re.S):
+        done: list[str] = []
+        for at, m in enumerate(re.finditer(r"(.)\1*", token, re.S), 1):
             new: dict = {}
             for letters, extra in self.options(m[1], len(m[0])):
                 steps = [0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else 27 for c in letters]
@@ -125,7 +127,10 @@ class Restorer:
                     if (a, b) not in new or cost < new[a, b][0]:
                         new[a, b] = (cost, text + letters)
             states = new
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
+            if at % 64 == 0:  # what all ways have in common is settled, so that a long token takes little memory
+                done.append(common := os.path.commonprefix([text for _, text in states.values()]))
+                states = {k: (cost, text[len(common) :]) for k, (cost, text) in states.items()}
+        return "".join(done) + min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in states.items())[1]
 
     def word(self, token: str) -> str:
         """A token (lower case, no white space) as the word or words it stands for."""
@@ -134,7 +139,7 @@ class Restorer:
         body = token.strip(EDGE)
         if not body or body.isalpha() and not _DRAWN.search(body):
             return body
-        if self.cost is None or len(token) > 60 or not _LETTER.search(body):
+        if self.cost is None or not _LETTER.search(body):
             return body
         parts = [p for p in _CLAUSE.split(body) if p]  # a sign between two long words is no disguise
         if len(parts) > 1:

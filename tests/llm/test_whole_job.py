@@ -102,3 +102,15 @@ def test_near_copies_and_verdicts_by_row_not_by_id(spark, tmp_path):
     left = pipeline.toxicity(spark, docs(spark, rows), str(tmp_path))
     assert left.columns == docs(spark, rows).columns
     assert {(r["doc_id"], r["text"]) for r in left.collect()} == {*(r for r in rows[:200] if r[0] % 4), rows[200], rows[202]}
+
+
+def test_long_tokens_are_restored(spark):
+    rng = random.Random(8)
+    names = ["grobnak", "zilpert", "hadrosh", "mukelten"]
+    rows = spark.createDataFrame([(" ".join([*(word(rng) for _ in range(20)), *[names[i // 4 % 4]] * (i % 4 == 0)]), int(i % 4 == 0)) for i in range(400)], "text string, label int")
+    restorer = toxicity.Restorer(toxicity.learn(rows, rows))
+    assert restorer.words("gr" + "o" * 80 + "bnak") == ["grobnak"]
+    assert restorer.features("/".join(["plain", "words", "grobnak", "zilpert"] * 10)) == (2, 20)
+    long = "gr0bn4k" * 60  # decoded in stretches as in one
+    once = restorer.decode(long)
+    assert once == "grobnak" * 60
