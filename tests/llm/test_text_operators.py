@@ -176,36 +176,44 @@ def test_minhash_components_by_brute_force(spark, words, size):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_line_dedup_by_brute_force(spark, words):
+def test_line_dedup_by_brute_force(spark, words, monkeypatch):
     rng = random.Random(3)
-    pool = [words(rng.randint(4, 25)) for _ in range(40)]
-    texts = [None, "", "\n", "short line\nshort line"]
-    for _ in range(60):
+    pool = [words(rng.randint(1, 25)) for _ in range(40)] + [words(rng.randint(66, 90)) for _ in range(3)]
+    texts = [None, "", "\n", "short line\nshort line", "line short\tline", "one\rone", " \t\n\t"]
+    for _ in range(70):
         lines = []
         for _ in range(rng.randint(1, 6)):
             w = rng.choice(pool).split()
-            if rng.random() < 0.5:
-                w[rng.randrange(len(w))] = "new%d" % rng.randint(0, 99)
-            lines.append(" ".join(w))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 12])):
+                w[rng.randrange(len(w))] = rng.choice(["the", "new%d" % rng.randint(0, 99)])
+            lines.append(rng.choice([" ", " ", "  ", "\t"]).join(w + ["the"] * rng.randint(0, 1)))
         texts.append("\n".join(lines))
-    seen, want = [], []
-    for t in texts:
+    keys = [None if i % 9 == 0 else 7 if i % 9 == 1 else i for i in range(len(texts))]
+    rows = list(zip(keys, texts))
+    rows += [rows[9], rows[10], rows[20]]  # equal rows stay or go together
+    d = spark.createDataFrame([(k, t, "en", "s", 0, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, place int")
+    d = d.withColumn("key", F.lit("x")).withColumn("line", F.lit("y")).withColumn("at", F.lit("z"))
+    ids = d.select("place", *linededup.identity(F.col("doc_id"), F.col("text"))).collect()
+    order = sorted({(r["key"], r["of_text"]): r["place"] for r in ids}.items())
+    want, seen = {}, []
+    for ident, place in order:
         kept = []
-        for line in (t or "").split("\n"):
+        for line in (rows[place][1] or "").split("\n"):
             s = frozenset(line.lower().split())
-            if len(s) < 5 or not any(len(s & x) >= 0.8 * len(s | x) - 1e-9 for x in seen):
+            if not s or not any(len(s & x) >= 0.8 * len(s | x) - 1e-9 for x in seen):
                 kept.append(line)
-            if len(s) >= 5:
+            if s:
                 seen.append(s)
-        want.append(None if t is None else "\n".join(kept))
-    d = docs(spark, texts).withColumn("doc", F.lit("x")).withColumn("line", F.lit("y")).withColumn("gone", F.lit("z"))
-    for near in (16, 1):  # with and without the short cut under common words
-        got = linededup.find_repeats(d.select(F.col("doc_id").alias("doc"), "text"), near=near).groupBy("doc").agg(F.collect_set("line").alias("g")).collect()
-        gone = {r["doc"]: set(r["g"]) for r in got}
-        assert ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ())) if t is not None else None for k, t in enumerate(texts)] == want
-    out = linededup.dedup_lines(d)
-    assert out.columns == [*d.columns, "_removed"] and {r["doc_id"]: r["text"] for r in out.collect()} == dict(enumerate(want))
+        want[ident] = None if rows[place][1] is None else "\n".join(kept)
+    want = {r["place"]: want[r["key"], r["of_text"]] for r in ids}
+    assert sum(t is not None and t != want[i] for i, (_, t) in enumerate(rows)) > 20
+    for hot, most in ((2**20, linededup.BROADCAST_BYTES), (4, 0)):  # with words posted by bands of length, and without broadcasts
+        monkeypatch.setattr(linededup, "BROADCAST_BYTES", most)
+        out = linededup.dedup_lines(d, hot=hot)
+        got = out.collect()
+        assert out.columns == [*d.columns, "_removed"] and len(got) == len(rows) and {r["place"]: r["text"] for r in got} == want
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
+    assert [r["_removed"] for r in linededup.dedup_lines(docs(spark, ["a b c\na b c", "a b c\na b c d e f\na b c d e f"]), least_words=5).collect()] == [0, 1]
 
 
 def test_toxicity(spark, words):
