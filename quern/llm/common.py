@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -19,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable copy in the folder that spark.checkpoint.dir names (a temporary one where unset, as in tests)."""
+    """Cuts the lineage with a reliable copy in the folder that spark.checkpoint.dir names; where it is unset, a local master gets a folder of its own and a cluster an error."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def release(df: DataFrame) -> None:
+    """Has Spark delete the shuffle files, and where so configured the checkpoints, that nothing refers to any more; else they stay until the driver's next collection of garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, whatever Catalyst inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
