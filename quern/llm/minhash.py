@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, texts
+from .common import checkpoint, release, slices, texts
 from .graphs import components, lookup
 
 LANES = 64
@@ -181,6 +181,7 @@ def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool
     wanted = docs.join(F.broadcast(ids.select(F.col("rep").alias("id"))) if few else ids.select(F.col("rep").alias("id")), "id", "left_semi")
     made = wanted.mapInArrow(sets, "rep long, set binary").groupBy("rep").agg(F.first("set").alias("set"))
     full = checkpoint(made.join(F.broadcast(ids) if few else ids, "rep"))
+    release(docs)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = full.select("family", own("nb").alias("i"), upto("mb").alias("j"), F.lit(0).alias("side"), "rep", "label", "set")
@@ -259,6 +260,7 @@ def _judged(docs: DataFrame, words: int, percent: int, trees: int, leaf: int, de
         token = lambda lane: F.substring(F.col("sig"), lane * 2 + 1, F.lit(2))
         branch = F.array(*(F.xxhash64("node", lane, token(lane)) for lane in lanes))
         members = checkpoint(large.select(F.explode(branch).alias("node"), "rep", "n", "sig"))
+        release(docs)
     large = checkpoint(large.select("node", "rep", "n", "sig"))
 
     # large nodes: each document with the pivot, the one that is in most large nodes: it has most of the common tokens
@@ -272,8 +274,13 @@ def _judged(docs: DataFrame, words: int, percent: int, trees: int, leaf: int, de
     found = pairs[0]
     for p in pairs[1:]:
         found = found.union(p)
-    links = _verified(checkpoint(found.distinct()), source, words, percent, broadcast_rows)
+    found = checkpoint(found.distinct())
+    del pairs, p, members, sizes, central, pivots, stars
+    release(docs)
+    links = _verified(found, source, words, percent, broadcast_rows)
+    del found
     linked = components(links)
+    release(docs)
 
     # of large nodes, what links do not connect with most of the others meets all of them
     label = lookup_left(large, linked, few)
@@ -282,6 +289,7 @@ def _judged(docs: DataFrame, words: int, percent: int, trees: int, leaf: int, de
     if not mixed_nodes.isEmpty():
         mixed = checkpoint(lookup(label.select("node", "rep", "label"), mixed_nodes, "node", "rep", few_nodes))
         more = checkpoint(_rest(mixed, source, words, percent, few, few_nodes))
+        release(docs)
         if not more.isEmpty():
             linked = components(links.union(more))
 
