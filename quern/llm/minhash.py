@@ -161,18 +161,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, broad
     return checkpoint(both.mapInArrow(check, "a long, b long"))
 
 
-def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool, few_nodes: bool, block: int = 1024) -> DataFrame:
-    """Links between documents of different labels that share a large node. mixed: node, rep, label.
+def _rest(mixed: DataFrame, docs: DataFrame, words: int, percent: int, few: bool, few_nodes: bool, block: int = 4096, block_bytes: int = 32_000_000, least: int = 3) -> DataFrame:
+    """Links between documents of different labels that share a large node. mixed: node, rep, label, n.
 
     Documents that nodes connect are a family. Those outside the family's main label, in blocks, meet all of the family, in blocks: a pair of
-    blocks is one task's bounded work, on full sets, and gives at most one link for a document and a label.
+    blocks is one task's bounded work, on full sets, and gives at most one link for a document and a label. A block has about so many documents and
+    bytes of sets at most; each set is sent to as many tasks as the other side has blocks. Smaller families get up to `least` blocks, to be shared out.
     """
-    least = mixed.groupBy("node").agg(F.min("rep").alias("m"))
-    family = components(lookup(mixed, least, "node", "rep", few_nodes).select("rep", "m").distinct(), "rep", "m").withColumnRenamed("component_id", "family")
-    members = checkpoint(mixed.select("rep", "label").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "label", "family"))
-    by_label = members.groupBy("family", "label").agg(F.count("*").alias("c"))
-    sizes = checkpoint(by_label.groupBy("family").agg(F.max(F.struct("c", "label")).getField("label").alias("main"), F.max("c").alias("most"), F.sum("c").alias("n")).select("family", "main", F.ceil(F.col("n") / block).alias("nb"), F.ceil((F.col("n") - F.col("most")) / block).alias("mb")).where("mb > 0"))
-    ids = checkpoint(lookup(members, sizes, "family", "rep", few_nodes))
+    lowest = mixed.groupBy("node").agg(F.min("rep").alias("m"))
+    family = components(lookup(mixed, lowest, "node", "rep", few_nodes).select("rep", "m").distinct(), "rep", "m").withColumnRenamed("component_id", "family")
+    members = checkpoint(mixed.select("rep", "label", "n").distinct().join(family, F.col("rep") == F.col("id")).select("rep", "label", "family", "n"))
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / block), F.ceil(s * 8 / block_bytes), F.least(F.lit(least), F.ceil(c * 4 / block)))
+    sizes = by_label.groupBy("family").agg(F.max(F.struct("c", "label", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    sizes = checkpoint(sizes.where(F.col("c") > F.col("m.c")).select("family", F.col("m.label").alias("main"), blocks(F.col("c"), F.col("s")).alias("nb"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("mb")))
+    ids = checkpoint(lookup(members.drop("n"), sizes, "family", "rep", few_nodes))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
@@ -287,7 +290,7 @@ def _judged(docs: DataFrame, words: int, percent: int, trees: int, leaf: int, de
     counts = label.groupBy("node", "label").agg(F.count("*").alias("c"))
     mixed_nodes = checkpoint(counts.groupBy("node").agg(F.count("*").alias("labels")).where("labels > 1").select("node"))
     if not mixed_nodes.isEmpty():
-        mixed = checkpoint(lookup(label.select("node", "rep", "label"), mixed_nodes, "node", "rep", few_nodes))
+        mixed = checkpoint(lookup(label.select("node", "rep", "label", "n"), mixed_nodes, "node", "rep", few_nodes))
         more = checkpoint(_rest(mixed, source, words, percent, few, few_nodes))
         release(docs)
         if not more.isEmpty():
