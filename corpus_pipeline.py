@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.common import checkpoint
 from quern.llm.linededup import dedup_lines
 from quern.llm.minhash import without_near_copies
 from quern.llm.packing import pack
@@ -25,7 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat an earlier one, and their new lengths."""
-    out = dedup_lines(docs, least_words=1)
+    out = dedup_lines(docs)
     return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -48,6 +49,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        # else each action of a stage would run the stages before it again
+        docs = stage(spark, checkpoint(docs) if i else docs, sf_dir)
     return docs
