@@ -98,15 +98,20 @@ def entries(v: Column) -> Column:
     return F.posexplode(v).alias("i", "x")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_sum_exp(v: Column) -> Column:
-    most = F.array_max(v)
-    return most + F.ln(F.aggregate(v, F.lit(ZERO), lambda s, x: s + F.exp(x - most)))
+    summed = lambda u, most: most + F.ln(F.aggregate(u, F.lit(ZERO), lambda s, x: s + F.exp(x - most)))
+    return let(v, lambda u: let(F.array_max(u), lambda most: summed(u, most)))
 
 
 def softmax(v: Column, eps: float = 1e-7) -> Column:
     """Clamped to [eps, 1 - eps]."""
-    lse = log_sum_exp(v)
-    return F.transform(v, lambda x: F.least(F.greatest(F.exp(x - lse), F.lit(eps)), F.lit(1 - eps)))
+    clamped = lambda u, lse: F.transform(u, lambda x: F.least(F.greatest(F.exp(x - lse), F.lit(eps)), F.lit(1 - eps)))
+    return let(v, lambda u: let(log_sum_exp(u), lambda lse: clamped(u, lse)))
 
 
 def argmax(v: Column) -> Column:

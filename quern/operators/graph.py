@@ -45,7 +45,8 @@ def pregel(vertices: DataFrame, edges: DataFrame, program: Computation, most: in
     degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_edges"))
     v = vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
     v = v.withColumn("value", program.first).withColumn("active", program.sends_first)
-    v, edges = cut(v), cut(edges)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v, edges = cut(v), cut(edges.repartition(parts, "src"))  # edges keep their places for all rounds
     step = 0
     while step < most:
         if fixed is None and v.where("active").isEmpty() or step == fixed:

@@ -21,7 +21,8 @@ def word_counts(tokens: DataFrame) -> DataFrame:
 
 def with_totals(counts: DataFrame) -> DataFrame:
     """counts with the totals of topics, whose word is null."""
-    return counts.union(counts.groupBy("topic").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string"), "topic", "n"))
+    rolled = counts.rollup("topic", "word").agg(F.sum("n").alias("n"), F.grouping_id().alias("_level"))
+    return rolled.where(F.col("_level") <= 1).select("word", "topic", "n")  # not the total of all
 
 
 def topic_changes(tokens: DataFrame) -> DataFrame:

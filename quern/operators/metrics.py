@@ -23,10 +23,19 @@ def tracer(rows: DataFrame, group: str, seconds: str, elements: str) -> DataFram
     return rows.groupBy(group).agg(total.alias("total_s"), (total / F.count("*")).alias("s_per_record"), per.alias("s_per_element"))
 
 
-def valid(rows: DataFrame, skip: int, order: str = "batch", source: str = "source") -> DataFrame:
-    """Without each source's first `skip` rows, and nothing unless every source still reports."""
+def valid(rows: DataFrame, skip: int, order: str = "batch", source: str = "source", resumed: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Without each source's first `skip` rows, and nothing unless every source still reports.
+
+    resumed (source, at): a source's first row at or after `at` goes too. blocks (source, owned): rows with another number of `blocks` go.
+    """
     rank = F.row_number().over(Window.partitionBy(source).orderBy(order))
     kept = rows.withColumn("_rank", rank).where(F.col("_rank") > skip).drop("_rank")
+    if resumed is not None:
+        after = F.coalesce(F.col(order) >= F.col("at"), F.lit(False))
+        first = F.row_number().over(Window.partitionBy(source, "_after").orderBy(order)) == 1
+        kept = kept.join(resumed, source, "left").withColumn("_after", after).withColumn("_first", first).where("not (_after and _first)").drop("at", "_after", "_first")
+    if blocks is not None:
+        kept = kept.join(blocks, source).where(F.col("blocks") == F.col("owned")).drop("owned")
     sources = lambda d: d.agg(F.count_distinct(source)).first()[0]
     return kept if sources(kept) == sources(rows) else kept.where(F.lit(False))
 

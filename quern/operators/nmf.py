@@ -47,8 +47,11 @@ def _sum(vector: Column, rank: int) -> Column:
 def gradients(ratings: DataFrame, rows: DataFrame, columns: DataFrame, rank: int, penalty: float) -> tuple[DataFrame, DataFrame]:
     """(id, g) of rows and of columns: the sum of 2 e times the other's factor, and 2 penalty times its own once."""
     d = errors(ratings, rows, columns)
-    toward = lambda key, other, own: d.groupBy(F.col(key).alias("id")).agg(_sum(V.scale(F.col(other), 2.0 * F.col("e")), rank).alias("s"), F.first(own).alias("own")).select("id", V.axpy(2.0 * penalty, F.col("own"), F.col("s")).alias("g"))
-    return toward("i", "r", "l"), toward("j", "l", "r")
+    side = lambda n, key, other, own: F.struct(F.lit(n).alias("side"), F.col(key).alias("id"), F.col(other).alias("other"), F.col(own).alias("own"))
+    both = d.select("e", F.explode(F.array(side(0, "i", "r", "l"), side(1, "j", "l", "r"))).alias("x")).select("e", "x.*")
+    sums = both.groupBy("side", "id").agg(_sum(V.scale(F.col("other"), 2.0 * F.col("e")), rank).alias("s"), F.first("own").alias("own"))
+    g = cut(sums.select("side", "id", V.axpy(2.0 * penalty, F.col("own"), F.col("s")).alias("g")))  # a row a factor, so that the joins run once
+    return g.where("side = 0").select("id", "g"), g.where("side = 1").select("id", "g")
 
 
 def apply(factors: DataFrame, g: DataFrame, step: float, most: float) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 SPAN = 1 << 20  # keys a bucket
 
 
@@ -47,3 +49,42 @@ def roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def in_degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     n = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
     return vertices.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("in_degree"))
+
+
+def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, dst): where edges (src, dst) lead from the vertices ids (id)."""
+    return ids.select("id").join(edges, F.col("id") == F.col("src")).select("id", "dst")
+
+
+def without_vertices(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The graph less the vertices ids (id) and the edges at either of their ends."""
+    gone = ids.select("id").distinct()
+    left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return vertices.join(gone, "id", "left_anti"), left.select("src", "dst")
+
+
+def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges less those of `gone` (src, dst)."""
+    return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def layers(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, layer): roots are layer 0, others come one after the last vertex that leads to them. Raises if edges form a cycle.
+
+    Each round removes the roots that are left, behind a checkpoint; rounds are as many as the longest path has vertices.
+    """
+    left, e, out, layer = cut(vertices.select("id").distinct()), cut(edges.select("src", "dst")), None, 0
+    while not left.isEmpty():
+        now = cut(roots(left, e).withColumn("layer", F.lit(layer)))
+        if now.isEmpty():
+            raise ValueError("the edges form a cycle")
+        out = now if out is None else out.union(now)
+        left, e = (cut(x) for x in without_vertices(left, e, now))
+        layer += 1
+    return vertices.select("id", F.lit(0).alias("layer")).where("false") if out is None else out
+
+
+def to_json(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, json): a vertex and, in order, where its edges lead."""
+    to = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    return vertices.select("id").join(to, "id", "left").select("id", F.to_json(F.struct("id", F.coalesce("to", F.array().cast("array<string>")).alias("to"))).alias("json"))

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder (a temporary one where none is set, as in tests)."""
+    """A reliable checkpoint in the session's shared folder; where none is set, a local master gets a temporary one and a cluster an error."""
     context = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
@@ -151,6 +153,41 @@ def ordered_block(key: Column, blocks: int, largest: int = 2**63 - 1) -> Column:
     return F.when(key >= 0, block).otherwise(F.raise_error(F.lit("an ordered table's keys are not negative")).cast("long"))
 
 
+class Block:
+    """One block of a hashed table: the table's operations on keys that are its own. Rows of other blocks' keys are refused."""
+
+    def __init__(self, table: KeyedTable, block: int, blocks: int):
+        self.table, self.block, self.blocks = table, block, blocks
+
+    def _mine(self, rows: DataFrame) -> DataFrame:
+        mine = hashed_block(F.col("key"), self.blocks) == self.block
+        return rows.withColumn("key", F.when(mine, F.col("key")).otherwise(F.raise_error(F.lit(f"a key is not of block {self.block}")).cast("long")))
+
+    def rows(self) -> DataFrame:
+        return self.table.scan().where(hashed_block(F.col("key"), self.blocks) == self.block)
+
+    def put(self, rows: DataFrame) -> KeyedTable:
+        return self.table.put(self._mine(rows))
+
+    def put_if_absent(self, rows: DataFrame) -> KeyedTable:
+        return self.table.put_if_absent(self._mine(rows))
+
+    def get(self, keys: DataFrame) -> DataFrame:
+        return self.table.multi_get(self._mine(keys))
+
+    def get_or_init(self, keys: DataFrame) -> DataFrame:
+        return self.table.multi_get_or_init(self._mine(keys))
+
+    def update(self, deltas: DataFrame) -> KeyedTable:
+        return self.table.update(self._mine(deltas))
+
+    def remove(self, keys: DataFrame) -> KeyedTable:
+        return self.table.remove(self._mine(keys))
+
+    def clear(self) -> KeyedTable:
+        return self.table.remove(self.rows())
+
+
 def block_stats(df: DataFrame) -> DataFrame:
     """df with block_id: rows a block."""
     return df.groupBy("block_id").agg(F.count("*").alias("items"))

@@ -31,10 +31,11 @@ def _weights(rows: DataFrame, epochs: int, penalty: float = 0.0) -> list:
     return mlr.Trainer(CLASSES, _width(rows), penalty).train(rows, epochs, ETA)[0]
 
 
-@query(f"WITH {X}, {W1} SELECT class, j, round(w, 6) AS delta FROM w1")
+@query(f"WITH {X}, {W1}, {P1} SELECT class, j, round(-{ETA}::DOUBLE * s - {ETA}::DOUBLE * {PENALTY}::DOUBLE * n * w, 5) AS delta FROM w1 JOIN (SELECT p1.class, x.j, sum((p - (p1.class = x.label)::INT) * x) AS s, count(*) AS n FROM x JOIN p1 USING (vec_id) GROUP BY 1, 2) g USING (class, j)")
 def mlr_gradient(spark, d):
+    """From the weights after one epoch, so that the penalty counts."""
     rows = instances(spark, d)
-    return mlr.gradient(rows, mlr.Trainer(CLASSES, _width(rows)).start(), ETA, PENALTY).withColumn("delta", F.round("delta", 6))
+    return mlr.gradient(rows, _weights(rows, 1), ETA, PENALTY).withColumn("delta", F.round("delta", 5))
 
 
 @query(f"WITH {X}, {W1}, {P1} SELECT vec_id AS id, CAST(arg_max(class, z) AS BIGINT) AS predicted, round(max(CASE WHEN class = label THEN p END), 6) AS p FROM p1 GROUP BY 1")

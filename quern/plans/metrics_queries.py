@@ -42,6 +42,16 @@ def metrics_valid(spark, d):
     return X.valid(batches(spark, d), 3).select("source", "batch", "items")
 
 
+@query(f"WITH {BATCH}, r AS (SELECT *, batch % 5 AS blocks, row_number() OVER (PARTITION BY source ORDER BY batch) AS rn FROM b), k AS (SELECT *, source % 2 = 0 AND batch >= 1000 AS after FROM r WHERE rn > 2), f AS (SELECT *, row_number() OVER (PARTITION BY source, after ORDER BY batch) AS first FROM k), g AS (SELECT * FROM f WHERE NOT (after AND first = 1) AND blocks <> 3 AND blocks = CASE WHEN source % 3 = 0 THEN 1 ELSE 2 END) SELECT source, batch, items FROM g WHERE (SELECT count(DISTINCT source) FROM g) = (SELECT count(DISTINCT source) FROM b)")
+def metrics_valid_all(spark, d):
+    """All four rules: the first rows, the first after a resumption, other numbers of blocks, every source reporting."""
+    b = batches(spark, d).withColumn("blocks", F.col("batch") % 5)
+    sources = b.select("source").distinct()
+    resumed = sources.where("source % 2 = 0").withColumn("at", F.lit(1000).cast("long"))
+    owned = sources.withColumn("owned", F.when(F.col("source") % 3 == 0, 1).otherwise(2))
+    return X.valid(b, 2, resumed=resumed, blocks=owned).select("source", "batch", "items")
+
+
 @query(f"WITH {BATCH}, r AS (SELECT source, items, row_number() OVER (PARTITION BY source ORDER BY batch DESC) - 1 AS i FROM b) SELECT source, round(sum(pow(0.7::DOUBLE, i) * items) / sum(pow(0.7::DOUBLE, i)), 5) AS ema FROM r WHERE i < 10 GROUP BY 1")
 def metrics_ema(spark, d):
     return X.moving_average(batches(spark, d), 0.3, 10, value="items").select("source", F.round("ema", 5).alias("ema"))
@@ -163,6 +173,29 @@ def dag_in_degrees(spark, d):
     return R.in_degrees(*_dag(spark, d))
 
 
+@query(f"WITH {DAG} SELECT src AS id, dst FROM e WHERE src LIKE 'r%'")
+def dag_neighbours(spark, d):
+    v, e = _dag(spark, d)
+    return R.neighbours(e, v.where("id like 'r%'"))
+
+
+@query(f"WITH {DAG}, kept AS (SELECT * FROM e WHERE src NOT IN ('r0', 'n7') AND dst NOT IN ('r0', 'n7') AND NOT (src = 'r1' AND dst = 'n1')) SELECT id, count(dst) AS in_degree FROM v LEFT JOIN kept ON dst = id WHERE id NOT IN ('r0', 'n7') GROUP BY 1")
+def dag_remove(spark, d):
+    gone = spark.createDataFrame([("r0",), ("n7",)], "id string")
+    v, e = R.without_vertices(*_dag(spark, d), gone)
+    return R.in_degrees(v, R.without_edges(e, spark.createDataFrame([("r1", "n1")], "src string, dst string")))
+
+
+@query(f"WITH {DAG} SELECT id, CAST(CASE left(id, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS INT) AS layer FROM v")
+def dag_layers(spark, d):
+    return R.layers(*_dag(spark, d))
+
+
+@query(f"WITH {DAG}, t AS (SELECT src, string_agg('\"' || dst || '\"', ',' ORDER BY dst) AS l FROM e GROUP BY 1) SELECT id, '{{\"id\":\"' || id || '\",\"to\":[' || coalesce(l, '') || ']}}' AS json FROM v LEFT JOIN t ON src = id")
+def dag_json(spark, d):
+    return R.to_json(*_dag(spark, d))
+
+
 KINDS = ("allocate", "create", "associate", "subscribe", "move", "start", "unassociate", "stop", "unsubscribe", "deallocate")
 
 

@@ -88,9 +88,11 @@ def table_get_or_init(spark, d):
     return _initial(balances(spark, d)).with_initial(nations(spark, d)).scan()
 
 
-@query(f"WITH {BALANCES} SELECT key, value FROM base WHERE key NOT IN (SELECT o_custkey FROM orders)")
+@query(f"WITH {BALANCES}, gone AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderkey % 8 = 0) SELECT key, value, 'left' AS what FROM base WHERE key NOT IN (SELECT key FROM gone) UNION ALL SELECT key, value, 'removed' FROM gone LEFT JOIN base USING (key)")
 def table_remove(spark, d):
-    return balances(spark, d).remove(table(spark, d, "orders").select(F.col("o_custkey").alias("key"))).scan()
+    t, keys = balances(spark, d), table(spark, d, "orders").where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("key"))
+    removed = t.previous(keys.distinct()).select("key", F.col("previous").alias("value"), F.lit("removed").alias("what"))
+    return t.remove(keys).scan().withColumn("what", F.lit("left")).unionByName(removed)
 
 
 @query(f"WITH {BALANCES} SELECT key, value FROM base WHERE false")
@@ -158,9 +160,22 @@ def _orders(spark, d) -> DataFrame:
     return o.withColumn("block_id", K.hashed_block(F.col("key"), BLOCKS))
 
 
-@query("SELECT o_orderkey // 9007199254740992 AS ordered_block, o_orderkey % 16 AS block_id, count(*) AS items FROM orders GROUP BY 1, 2")
+@query("SELECT least(o_orderkey // 64, 1023) AS ordered_block, o_orderkey % 16 AS block_id, count(*) AS items FROM orders GROUP BY 1, 2")
 def block_stats(spark, d):
-    return _orders(spark, d).groupBy(K.ordered_block(F.col("key"), 1024).alias("ordered_block"), "block_id").agg(F.count("*").alias("items"))
+    return _orders(spark, d).groupBy(K.ordered_block(F.col("key"), 1024, 65_535).alias("ordered_block"), "block_id").agg(F.count("*").alias("items"))
+
+
+@query(f"WITH {BALANCES}, {DELTAS}, {TOTALS} SELECT key, coalesce(b.value, 0) + coalesce(t.delta, 0) AS value FROM base b FULL JOIN (SELECT * FROM totals WHERE key % {BLOCKS} = 5) t USING (key) WHERE key % {BLOCKS} <> 6")
+def block_operations(spark, d):
+    """Deltas of block 5 applied, block 6 cleared."""
+    mine = deltas(spark, d).where(K.hashed_block(F.col("key"), BLOCKS) == 5)
+    return K.Block(K.Block(balances(spark, d), 5, BLOCKS).update(mine), 6, BLOCKS).clear().scan()
+
+
+@query(f"WITH {BALANCES}, keys AS (SELECT DISTINCT o_custkey * 2 AS key FROM orders WHERE (o_custkey * 2) % {BLOCKS} = 4) SELECT key, coalesce(value, -key) AS value FROM keys LEFT JOIN base USING (key)")
+def block_get_or_init(spark, d):
+    mine = nations(spark, d).where(K.hashed_block(F.col("key"), BLOCKS) == 4)
+    return K.Block(_initial(balances(spark, d)), 4, BLOCKS).get_or_init(mine)
 
 
 @query("SELECT CAST(block_id % 3 AS BIGINT) AS owner, count(*) AS blocks, CAST(sum(items) AS BIGINT) AS items FROM (SELECT o_orderkey % 16 AS block_id, count(*) AS items FROM orders GROUP BY 1) GROUP BY 1")
@@ -242,3 +257,15 @@ def parse_ratings(spark, d):
     cell = F.concat_ws(",", "l_linenumber", "v")
     lines = l.groupBy("l_orderkey").agg(F.concat_ws(" ", F.sort_array(F.collect_list(cell))).alias("cells")).select(F.concat((F.col("l_orderkey") + 1).cast("string"), F.lit(": "), "cells").alias("value"))
     return parsers.ratings(lines).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+
+
+@query("SELECT s_name AS host, min(CAST(1000 + s_nationkey * 100 AS DOUBLE)) AS value FROM supplier GROUP BY 1")
+def host_bandwidth(spark, d):
+    lines = table(spark, d, "supplier").select(F.explode(F.array(F.lit("# host bandwidth"), F.concat_ws(" ", "s_name", F.col("s_nationkey") * 100 + 1000))).alias("value"))
+    return loading.host_values(lines)
+
+
+@query("SELECT s_name AS host, min(CAST(1 + s_nationkey % 8 AS INT)) AS value FROM supplier GROUP BY 1")
+def host_cores(spark, d):
+    lines = table(spark, d, "supplier").select(F.concat_ws(" ", "s_name", F.col("s_nationkey") % 8 + 1).alias("value"))
+    return loading.host_values(lines, "int")

@@ -59,3 +59,15 @@ def restore(spark: SparkSession, path: str) -> DataFrame:
 
 def append_metrics(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def host_values(lines: DataFrame, kind: str = "double") -> DataFrame:
+    """`host value` to (host, value): bandwidths as numbers, or with kind `int` cores. Of repeated hosts the least value counts."""
+    parts = F.split(F.trim("value"), r"\s+")
+    pairs = content(lines).select(F.element_at(parts, 1).alias("host"), F.element_at(parts, 2).cast(kind).alias("value"))
+    return pairs.groupBy("host").agg(F.min("value").alias("value"))
+
+
+def read_test_data(spark: SparkSession, path: str | None, parse) -> DataFrame:
+    """parse(lines) of the held-out lines at path; of no lines where no path is set."""
+    return parse(spark.read.text(path) if path else spark.createDataFrame([], "value string"))

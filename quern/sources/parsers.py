@@ -18,14 +18,17 @@ def checked(good: Column, value: Column, message: str) -> Column:
 
 def libsvm(lines: DataFrame, label: str = "int", classes: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """`label i:v i:v ...` to (label, idx array<int>, val array<double>); labels are under `classes` if given."""
-    parts = F.split(F.trim("value"), r"\s+")
-    rest = F.slice(parts, F.lit(2), F.size(parts))
-    y = F.element_at(parts, 1).cast(label)
+    keep = keep or []
+    # generators, as Catalyst would cut a line again for each use of a plain column
+    d = content(lines).select(*keep, F.explode(F.array(F.split(F.trim("value"), r"\s+"))).alias("_parts"))
+    y = F.element_at("_parts", 1).cast(label)
     if classes is not None:
         y = checked((y >= 0) & (y < classes), y, f"labels are from 0 to {classes - 1}")
-    idx = F.transform(rest, lambda p: F.element_at(F.split(p, ":"), 1).cast("int"))
-    val = F.transform(rest, lambda p: F.element_at(F.split(p, ":"), 2).cast("double"))
-    return content(lines).select(*(keep or []), y.alias("label"), idx.alias("idx"), val.alias("val"))
+    pairs = F.transform(F.slice("_parts", F.lit(2), F.size("_parts")), lambda p: F.split(p, ":"))
+    d = d.select(*keep, y.alias("label"), F.explode(F.array(pairs)).alias("_pairs"))
+    idx = F.transform("_pairs", lambda p: F.element_at(p, 1).cast("int"))
+    val = F.transform("_pairs", lambda p: F.element_at(p, 2).cast("double"))
+    return d.select(*keep, "label", idx.alias("idx"), val.alias("val"))
 
 
 def long_form(instances: DataFrame, keep: list[str]) -> DataFrame:

@@ -175,3 +175,34 @@ def test_plans():
         planner.run_plan({1: lambda: 0, 2: lambda: 0}, {1: {2}, 2: {1}})
     servers, cost = planner.assign_roles([10.0, 1.0, 10.0], [5.0, 9.0, 5.0], 0.1)
     assert servers == [1] and cost > 0
+
+
+def test_states_layers_and_hosts(spark, tmp_path):
+    from quern.operators.states import StateMachine
+
+    m = StateMachine(["new", "running", "closed"], "new", [("new", "running", "started"), ("running", "closed", "ended")])
+    assert m.to("running") == "started" and not m.compare_and_set("new", "closed") and m.compare_and_set("running", "closed")
+    for act in (lambda: m.to("new"), lambda: m.check("new"), lambda: m.to("nowhere"), lambda: StateMachine(["a"], "b", [])):
+        with pytest.raises((RuntimeError, ValueError)):
+            act()
+    vertices = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    edges = [(0, 1), (0, 2), (1, 3), (2, 3), (1, 2)]
+    got = ranges.layers(vertices, spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert dict(map(tuple, got)) == {0: 0, 4: 0, 1: 1, 2: 2, 3: 3}
+    with pytest.raises(ValueError, match="cycle"):
+        ranges.layers(vertices, spark.createDataFrame([*edges, (3, 1)], "src long, dst long"))
+    (tmp_path / "hosts").write_text("# host cores\na 4\nb 8\n\na 2\n")
+    assert dict(map(tuple, loading.host_values(loading.read_lines(spark, str(tmp_path / "hosts")), "int").collect())) == {"a": 2, "b": 8}
+    (tmp_path / "test").write_text("1 0:2.5 3:1\n# none\n2\n")
+    rows = loading.read_test_data(spark, str(tmp_path / "test"), parsers.libsvm).collect()
+    assert sorted(map(tuple, rows)) == [(1, [0, 3], [2.5, 1.0]), (2, [], [])]
+    assert loading.read_test_data(spark, None, parsers.libsvm).count() == 0
+
+
+def test_block_refuses_other_keys(spark):
+    t = K.KeyedTable(spark.createDataFrame([(0, 1), (4, 2), (1, 3)], "key long, value long"))
+    b = K.Block(t, 0, 4)
+    assert sorted(r["key"] for r in b.rows().collect()) == [0, 4]
+    assert sorted(map(tuple, b.remove(spark.createDataFrame([(4,)], "key long")).scan().collect())) == [(0, 1), (1, 3)]
+    with pytest.raises(Exception, match="not of block 0"):
+        b.put(spark.createDataFrame([(1, 9)], "key long, value long")).scan().collect()
