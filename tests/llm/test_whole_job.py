@@ -7,7 +7,7 @@ import random
 import public_tokenizers as P
 import tiktoken
 
-from quern.llm import bpe, htmltext, linededup, minhash, toxicity
+from quern.llm import bpe, graphs, htmltext, linededup, minhash, toxicity
 
 RANKS = open(P.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
 
@@ -114,3 +114,24 @@ def test_long_tokens_are_restored(spark):
     long = "gr0bn4k" * 60  # decoded in stretches as in one
     once = restorer.decode(long)
     assert once == "grobnak" * 60
+
+
+def test_unrelated_documents_branch_until_they_part(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(60)) for _ in range(2500)]
+    rows = [*enumerate(texts), *((5000 + i, texts[i] + " tail") for i in range(0, 2500, 50))]
+    whole, sent = minhash._rest, []
+    monkeypatch.setattr(minhash, "_rest", lambda mixed, *a, **k: sent.append(mixed.count()) or whole(mixed, *a, **k))
+    monkeypatch.setattr(minhash, "FEW_ROWS", 1, raising=False)
+    for deepest in (2, 10):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(spark, rows), words=2, deepest=deepest).collect()}
+        assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+        sent.append(0)
+    assert sent[0] > 4 * max(sent[1:])  # rows of nodes that stay large
+
+
+def test_lookup_of_hot_and_other_keys(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HOT", 100, raising=False)
+    rows = spark.range(2000).selectExpr("id", "if(id < 500, 0, id) as k")
+    joined = graphs.lookup(rows, rows.select("k").distinct().selectExpr("k", "k + 1 as v"), "k", "id", False)
+    assert joined.count() == 2000 and joined.where("v <> k + 1").isEmpty()
