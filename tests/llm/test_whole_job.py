@@ -135,3 +135,22 @@ def test_lookup_of_hot_and_other_keys(spark, monkeypatch):
     rows = spark.range(2000).selectExpr("id", "if(id < 500, 0, id) as k")
     joined = graphs.lookup(rows, rows.select("k").distinct().selectExpr("k", "k + 1 as v"), "k", "id", False)
     assert joined.count() == 2000 and joined.where("v <> k + 1").isEmpty()
+
+
+def test_lines_of_a_large_group_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(13)
+    bases = [[word(rng) + str(i) for i in range(25)] for _ in range(3)]
+    texts = []
+    for k in range(900):
+        w = list(bases[k % 3])
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(25)] = "new%d" % rng.randint(0, 10**6)
+        texts.append(" ".join(w))
+    d = docs(spark, enumerate(texts)).selectExpr("doc_id as key", "0L as of_text", "text")
+    whole, pairs = linededup._verified, []
+    monkeypatch.setattr(linededup, "_verified", lambda p, *a: pairs.append(p.count()) or whole(p, *a))
+    found = {r["key"] for r in linededup.find_repeats(d).collect()}
+    few = sum(pairs)
+    monkeypatch.setattr(linededup, "ROUNDS", (64,))  # all earlier lines at once
+    pairs.clear()
+    assert {r["key"] for r in linededup.find_repeats(d).collect()} == found and few < 0.8 * sum(pairs)
