@@ -154,3 +154,57 @@ def test_lines_of_a_large_group_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(linededup, "ROUNDS", (64,))  # all earlier lines at once
     pairs.clear()
     assert {r["key"] for r in linededup.find_repeats(d).collect()} == found and few < 0.8 * sum(pairs)
+
+
+def pages_of(spark, pages, host="a"):
+    return spark.createDataFrame([(i, f"http://{host}.example.com/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_template_boxes_inside_articles_go_and_authors_may_repeat_themselves(spark):
+    page = "<html><body><article><h1>Title {n}</h1><p>Own text {n}</p><p>The same sentence</p><div class='app'><p>Get our app</p><span>now</span> free</div>{more}</article></body></html>"
+    more = ["", "<div class='app2'>Own {n}, see</div>", "<div>Get our app</div>"]
+    got = htmltext.extract(pages_of(spark, [page.format(n=i, more=more[i % 3].format(n=i)) for i in range(9)])).collect()
+    want = [["", f"\nOwn {i}, see", "\nGet our app"][i % 3] for i in range(9)]
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Title {i}\nOwn text {i}\nThe same sentence{want[i]}" for i in range(9)}
+    # copies of a page, and pages that differ outside their texts only, are no evidence
+    copies = [f"<html><body><nav>{i}</nav><article><h1>T</h1><div class='app'>Body</div></article></body></html>" for i in range(5)]
+    assert {r["text"] for r in htmltext.extract(pages_of(spark, copies)).collect()} == {"T\nBody"}
+    # an article of which nothing would be left
+    alike = [f"<html><body><article><div class='a'>Body</div></article><article class='comment'>{i}</article><article>{'x' * (i == 9)}</article></body></html>" for i in range(6)]
+    assert {r["text"] for r in htmltext.extract(pages_of(spark, alike)).collect()} == {"Body"}
+
+
+def test_classes_by_their_order_and_nesting_decide_outside_articles(spark):
+    # equal to `Welcome` in how many pages have it, `Alone` is of a class without tags: it is no template
+    page = "<html><body><div class='w'>Welcome</div>{alone}<div>Story {n}</div><div>Word <b>and</b> place</div></body></html>"
+    got = htmltext.extract(pages_of(spark, [page.format(n=i, alone="<div>Alone</div>" if i < 4 else "<div>Else %d</div>" % i) for i in range(6)])).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"{'Alone' if i < 4 else 'Else %d' % i}\nStory {i}" for i in range(6)}
+    t = htmltext.Template([(5, -1, 9, (1, 2, 3, 4)), (6, 5, 9, (7, 8, 9))])
+    kinds = {1: 0, 2: 1, 3: 1, 4: 0, 7: 0, 8: 1, 9: 0}
+    held = lambda *tokens: sorted(tokens[p] for p in t.held([(x, kinds.get(x, 1)) for x in tokens]))
+    assert held(1, 2, 3, 4) == [1, 2, 3, 4]
+    assert held(1, 3, 50, 2, 4) in ([1, 2, 4], [1, 3, 4])  # out of order: the longest part in order
+    assert held(1, 2, 7, 8, 9, 3, 4) == [1, 2, 3, 4, 7, 8, 9]
+    assert held(1, 2, 7, 8, 3, 9, 4) == [1, 2, 3, 4]  # straddles the class around it: a tag on one side only
+    assert held(7, 8, 9, 7, 8, 9) == [7, 7, 8, 8, 9, 9] and held(7, 8, 9, 7, 8) == []
+
+
+def test_classes_by_plain_deduction(spark):
+    rng = random.Random(4)
+    html = []
+    for i in range(20):
+        parts = [f"<p>Own {i}</p>"] + [f"<div class='c{j}'>Text {j}<p>more</p></div>" * rng.randint(1, 2) for j in range(6) if rng.random() < 0.8]
+        rng.shuffle(parts)
+        html.append(f"<html><body>{''.join(parts)}<article><h2>Part</h2><p>{i}</p></article></body></html>")
+    html += html[:3]  # copies count once
+    plain = {}
+    for i, h in enumerate(html[:20]):
+        for token, _ in htmltext.Page(h).tokens:
+            plain.setdefault(token, [0] * 20)[i] += 1
+    classes = {}
+    for token, vector in plain.items():
+        if sum(n > 0 for n in vector) >= 10:
+            classes.setdefault(tuple(vector), set()).add(token)
+    got = htmltext.deduce(pages_of(spark, html)).collect()
+    assert sorted(sorted(t["token"] for t in c["tokens"]) for c in got) == sorted(sorted(c) for c in classes.values())
+    assert len(got) > 5 and all(t["label"] for c in got for t in c["tokens"])
