@@ -208,3 +208,24 @@ def test_classes_by_plain_deduction(spark):
     got = htmltext.deduce(pages_of(spark, html)).collect()
     assert sorted(sorted(t["token"] for t in c["tokens"]) for c in got) == sorted(sorted(c) for c in classes.values())
     assert len(got) > 5 and all(t["label"] for c in got for t in c["tokens"])
+
+
+def test_words_counted_in_a_sample_find_the_same_lines(spark):
+    rng = random.Random(5)
+    vocabulary = [word(rng) + str(i) for i in range(300)]
+    some = [[rng.choice(vocabulary) for _ in range(rng.choice([1, 4, 12, 30, 90]))] for _ in range(60)]
+    line = lambda: " ".join(rng.choice(vocabulary) if rng.random() < 0.07 else w for w in rng.choice(some))
+    d = docs(spark, [(i, "\n".join(line() for _ in range(3))) for i in range(120)])
+    d = d.select(*linededup.identity(d["doc_id"], d["text"]), "text")
+    n = lambda classes: sum(k > 1 for k in classes)
+    whole, part = linededup.bucket_classes(d, sample=1), linededup.bucket_classes(d, sample=8, enough=1)
+    assert 0 < n(part) < n(whole) and linededup.bucket_classes(d) == whole  # too few words in the sample: all are counted
+    sets = {}
+    for k, h, text in d.collect():
+        for i, x in enumerate(text.split("\n")):
+            sets[k, h, i] = set(x.split(" "))
+    plain = {x for x in sets if any(y < x and 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y]) for y in sets)}
+    # none, a few and all of the words known
+    for sample, enough in ((10**6, 0), (8, 1), (1, 0)):
+        found = [tuple(r) for r in linededup.find_repeats(d, sample=sample, enough=enough).collect()]
+        assert set(found) == plain and len(found) == len(plain)
