@@ -229,3 +229,23 @@ def test_words_counted_in_a_sample_find_the_same_lines(spark):
     for sample, enough in ((10**6, 0), (8, 1), (1, 0)):
         found = [tuple(r) for r in linededup.find_repeats(d, sample=sample, enough=enough).collect()]
         assert set(found) == plain and len(found) == len(plain)
+
+
+def test_line_tokens_are_plain_longs_made_once(spark):
+    odd = ["", " ", "\t \x0b", "\x01", " \x01 ", "\xa0", "!", "a", " a", "\ta", "b  a b ", "日本 é a", "\r\x0c", *(" ".join(f"w{i % 70}" for i in range(n)) for n in (5, 64, 65, 90))]
+    d = spark.createDataFrame([(i, 0, 0, x) for i, x in enumerate(odd)], "key long, of_text long, line int, value string")
+    for least in (1, 2):
+        got = {r["key"] for r in d.where(linededup._worded(d["value"], least)).collect()}
+        assert got == {i for i, x in enumerate(odd) if len(set(x.translate({ord(c): " " for c in "\t\x0b\x0c\r"}).split(" ")) - {""}) >= least}
+    classes = bytearray(random.Random(1).choice(range(1, 127)) for _ in range(2**10))
+    made = d.select("key", linededup.tokens(linededup._plain(d["value"]), classes).alias("t"))
+    assert not made.schema["t"].dataType.containsNull  # else Spark sorts objects
+    plain = d.selectExpr("key", "explode(split(translate(lower(value), '\t\x0b\x0c\r', '    '), ' ')) as w").where("w <> ''").selectExpr("key", "xxhash64(w) as h").distinct()
+    want = {i: [] for i in range(len(odd))}
+    for r in plain.collect():
+        want[r["key"]].append(classes[r["h"] & 1023] << 56 | (r["h"] & (2**64 - 1)) >> 8)
+    assert {r["key"]: r["t"] for r in made.collect()} == {i: sorted(x) for i, x in want.items()}
+    # once, and in a projection: a generator's input is interpreted
+    plan = linededup._prefixes(linededup._signed(d, classes), 0.8)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.split("[")[0] for x in plan.split("\n") if "sort_array" in x]
+    assert len(lines) == 1 and "Project" in lines[0]
