@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import cut
 
 SPAN = 1 << 20  # keys a bucket
+MEET = 1 << 16  # keys a bucket where ranges of two sets meet
 
 
 def dense_ranges(keys: DataFrame, span: int = SPAN) -> DataFrame:
@@ -23,14 +26,27 @@ def dense_ranges(keys: DataFrame, span: int = SPAN) -> DataFrame:
     return runs.where(~border).select("first", "last").union(joined)
 
 
-def intersection(a: DataFrame, b: DataFrame, span: int = SPAN) -> DataFrame:
-    """What both sets of ranges (first, last) hold, as ranges. Ranges meet in buckets of keys, so the join is an equi-join."""
-    def cut(d: DataFrame, x: str, y: str) -> DataFrame:
-        at = F.sequence(F.call_function("div", F.col("first"), F.lit(span)), F.call_function("div", F.col("last"), F.lit(span)))
-        return d.select(F.col("first").alias(x), F.col("last").alias(y), F.explode(at).alias("_b"))
+def intersection(a: DataFrame, b: DataFrame, span: int = MEET) -> DataFrame:
+    """What both sets of ranges (first, last) hold, as ranges. Ranges meet in buckets of keys; an overlap is found in the bucket in which it begins.
 
-    met = cut(a, "a0", "a1").join(cut(b, "b0", "b1"), "_b")
-    return met.select(F.greatest("a0", "b0").alias("first"), F.least("a1", "b1").alias("last")).where("first <= last").distinct()
+    Of two ranges that overlap one begins within the other, and in order of beginnings those are neighbours: two binary searches a range find them, without trying pairs.
+    """
+    def cut(d: DataFrame, side: int) -> DataFrame:
+        bucket = lambda k: F.call_function("div", F.col(k), F.lit(span)) - (F.col(k) % span < 0).cast("long")  # noqa: E731 - rounds down, also under 0
+        return d.where("first <= last").select(F.lit(side).alias("side"), "first", "last", F.explode(F.sequence(bucket("first"), bucket("last"))).alias("_b"))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        one, two = (rows.loc[rows["side"] == k, ["first", "last"]].sort_values("first").to_numpy("int64").T for k in (0, 1))
+        out = []
+        for (first, last), (first2, last2), after in ((one, two, "left"), (two, one, "right")):  # equal beginnings count for one side
+            low = np.searchsorted(first2, first, after)
+            n = np.maximum(np.searchsorted(first2, last, "right") - low, 0)
+            other = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+            out.append(np.stack([first2[other], np.minimum(np.repeat(last, n), last2[other])], axis=1))
+        met = pd.DataFrame(np.concatenate(out), columns=["first", "last"])
+        return met[met["first"] // span == rows["_b"].iloc[0]].drop_duplicates()
+
+    return cut(a, 0).union(cut(b, 1)).groupBy("_b").applyInPandas(meet, "first long, last long")
 
 
 def complement(ranges: DataFrame, first: int, last: int) -> DataFrame:

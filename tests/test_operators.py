@@ -168,6 +168,19 @@ def test_ranges(spark):
     assert pairs(ranges.intersection(runs, other, 4)) == [(2, 3), (7, 7), (16, 17)]
 
 
+def test_ranges_meet_without_pairs(spark):
+    a = [(-9, -5), (-3, 4), (6, 6), (10, 30), (12, 14), (40, 40), (10, 30)]  # some overlap or repeat in one set
+    b = [(-7, -2), (0, 0), (4, 11), (10, 12), (29, 50), (60, 61)]
+    want = sorted({(max(x[0], y[0]), min(x[1], y[1])) for x in a for y in b if x[0] <= y[1] and y[0] <= x[1]})
+    frame = lambda r: spark.createDataFrame(r, "first long, last long")
+    for span in (1, 4, 1 << 16):
+        assert pairs(ranges.intersection(frame(a), frame(b), span)) == want
+    assert ranges.intersection(frame(a), frame([])).count() == 0
+    odd = spark.range(120_000).select((F.col("id") * 2).alias("first"), (F.col("id") * 2).alias("last"))
+    met = ranges.intersection(odd, odd)
+    assert met.count() == 120_000 and "Join" not in met._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plans():
     assert planner.fifo_schedule([("a", 0, 2, 5), ("b", 1, 2, 2), ("c", 2, 1, 1)], 3) == [("a", 0), ("b", 5), ("c", 5)]
     assert planner.run_plan({1: lambda: 0, 2: lambda: 0, 3: lambda: 0}, {2: {1}, 3: {1}}) == [[1], [2, 3]]
