@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.vectors import log_gamma
 
+from .tables import cut
+
+#: Words whose counts every worker has: so many at most, and counts of them all. Tokens a task and tokens drawn at a time.
+HOT, CELLS, TASK, TOGETHER = 1 << 16, 1 << 22, 1_000_000, 1 << 18
+
 
 def first_topics(tokens: DataFrame, topics: int) -> DataFrame:
     """tokens (doc_id, pos, word) with a topic that depends on document and place alone."""
@@ -68,31 +75,75 @@ def word_likelihood(counts: DataFrame, beta: float) -> DataFrame:
 def gibbs(tokens: DataFrame, topics: int, alpha: float, beta: float, seed: int = 0) -> DataFrame:
     """tokens with new_topic, drawn anew token after token within each document. Counts of words and totals of topics are those before the sweep, less the token itself; documents' own counts follow each draw.
 
-    Each token comes with its word's counts, so no table of words is broadcast; a document is one group.
+    Words that make up more than one token in `most` are fewer than `most`: their counts go to the workers as one matrix, and their tokens
+    carry its row. The other words meet their tokens in a shuffle join. Tokens are dealt by document and sorted; a worker takes
+    some documents at a time and draws their first tokens together, then their second ones, and so on.
     """
-    counts = word_counts(tokens)
-    by_word = counts.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("topic", "n"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(topics - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
-    totals = {r[0]: r[1] for r in tokens.groupBy("topic").count().collect()}  # as many rows as topics
-    total = np.array([totals.get(k, 0) for k in range(topics)], float)
-    vocabulary = counts.agg(F.count_distinct("word")).first()[0]
-    joined = tokens.join(by_word.select("word", dense.alias("nw")), "word")
-
-    def sweep(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("pos")
-        rng = np.random.default_rng([seed, int(doc["doc_id"].iloc[0]) & 0x7FFFFFFF])
-        topic = doc["topic"].to_numpy().copy()
-        own = np.bincount(topic, minlength=topics).astype(float)
-        for t, (nw, u) in enumerate(zip(doc["nw"], rng.random(len(doc)))):
-            old = doc["topic"].iloc[t]
-            own[old] -= 1
-            n = np.array(nw, float)
-            n[old] -= 1
-            below = total.copy()
-            below[old] -= 1
-            p = np.cumsum((own + alpha) * (n + beta) / (below + vocabulary * beta))
-            topic[t] = np.searchsorted(p, u * p[-1], side="right").clip(0, topics - 1)
-            own[topic[t]] += 1
-        return pd.DataFrame({"doc_id": doc["doc_id"], "pos": doc["pos"].astype("int64"), "word": doc["word"], "topic": doc["topic"], "new_topic": topic})
-
-    return joined.groupBy("doc_id").applyInPandas(sweep, "doc_id long, pos long, word string, topic long, new_topic long")
+    spark = tokens.sparkSession
+    dense = F.array(*(F.sum(F.when(F.col("topic") == k, F.col("n")).otherwise(0)) for k in range(topics)))
+    words = cut(word_counts(tokens).where(F.col("word").isNotNull()).groupBy("word").agg(dense.alias("nw"), F.sum("n").alias("n")))
+    nulls = tokens.where("word is null").groupBy("topic").count()  # tokens without a word count in the totals alone
+    vocabulary, *sums = words.agg(F.count("*"), *(F.sum(F.get("nw", F.lit(k))) for k in range(topics))).first()
+    total = np.array([x or 0 for x in sums], float)
+    for k, n in nulls.collect():  # as many rows as topics
+        total[k] += n
+    most = max(1, min(HOT, CELLS // topics))
+    least = int(total.sum()) // most
+    often = words.where(F.col("n") > least).select("word", "nw").toArrow().sort_by("word")  # fewer than `most`
+    matrix = often["nw"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, topics)
+    hot = F.broadcast(spark.createDataFrame(pa.table({"word": often["word"].cast(pa.string()), "_hot": pa.array(np.arange(len(matrix)), pa.int32())}), "word string, _hot int"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total.sum() / TASK))
+    t = tokens.select("doc_id", "pos", "word", "topic")
+    near = t.join(hot, "word").select(*t.columns, "_hot", F.lit(None).cast("array<long>").alias("nw"))
+    rest = words.where(F.col("n") <= least).select("word", "nw")
+    far = t.join(hot, "word", "left_anti").join(rest, "word").select(*t.columns, F.lit(None).cast("int").alias("_hot"), "nw")
+    dealt = near.union(far).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "pos", "word", "topic")
+    smooth = vocabulary * beta
+
+    def draw(block: pa.Table) -> pa.Table:
+        """new_topic of whole documents, tokens in order."""
+        doc, old = (block[c].to_numpy() for c in ("doc_id", "topic"))
+        n = np.empty((len(doc), topics))
+        row = block["_hot"].fill_null(-1).to_numpy()
+        n[row >= 0] = matrix[row[row >= 0]]
+        n[row < 0] = block["nw"].drop_null().combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, topics)
+        n[np.arange(len(doc)), old] -= 1
+        n += beta
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        sizes = np.diff(np.r_[starts, len(doc)])
+        u = np.concatenate([np.random.default_rng([seed, int(d) & 0x7FFFFFFF]).random(k) for d, k in zip(doc[starts], sizes)])
+        own = np.zeros((len(starts), topics))
+        np.add.at(own, (np.repeat(np.arange(len(starts)), sizes), old), 1)
+        order = np.argsort(-sizes, kind="stable")  # those that go on come first
+        starts, sizes, own = starts[order], sizes[order], own[order]
+        going = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+        new, each, all_below = np.empty_like(old), np.arange(len(starts)), np.tile(total + smooth, (len(starts), 1))
+        for step, k in enumerate(going):
+            at, i = starts[:k] + step, each[:k]
+            was, below = old[at], all_below[:k].copy()
+            below[i, was] = total[was] - 1 + smooth
+            own[i, was] -= 1
+            p = np.cumsum((own[:k] + alpha) * n[at] / below, axis=1)
+            now = np.minimum((p <= (u[at] * p[:, -1])[:, None]).sum(axis=1), topics - 1)
+            own[i, now] += 1
+            new[at] = now
+        return block.select(["doc_id", "pos", "word", "topic"]).append_column("new_topic", pa.array(new, pa.int64()))
+
+    def sweep(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < TOGETHER:
+                continue
+            block = pa.Table.from_batches(held)
+            doc = block["doc_id"].to_numpy()
+            whole = int(np.searchsorted(doc, doc[-1], "left"))  # the last document may go on
+            if whole:
+                yield from draw(block.slice(0, whole)).to_batches()
+            held = block.slice(whole).to_batches()
+            n = n - whole
+        if n:
+            yield from draw(pa.Table.from_batches(held)).to_batches()
+
+    return dealt.mapInArrow(sweep, "doc_id long, pos long, word string, topic long, new_topic long")

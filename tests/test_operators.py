@@ -137,6 +137,35 @@ def test_gibbs_keeps_tokens_and_repeats(spark):
     assert {r["new_topic"] for r in a.collect()} <= {0, 1, 2}
 
 
+def test_gibbs_against_one_token_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    rows = [(d, p, f"w{(d * d + p * p) % 23}", (d + p) % 4) for d in range(-2, 30) for p in range(1 + d * d % 37)]
+    n, total = {}, np.zeros(4)
+    for _, _, w, k in rows:
+        n.setdefault(w, np.zeros(4))[k] += 1
+        total[k] += 1
+    want = []
+    for d in range(-2, 30):
+        doc = sorted(r for r in rows if r[0] == d)
+        own = np.bincount([r[3] for r in doc], minlength=4).astype(float)
+        for r, u in zip(doc, np.random.default_rng([5, d & 0x7FFFFFFF]).random(len(doc))):
+            less = np.eye(4)[r[3]]
+            own -= less
+            p = np.cumsum((own + 0.1) * (n[r[2]] - less + 0.01) / (total - less + len(n) * 0.01))
+            k = int(np.searchsorted(p, u * p[-1], "right"))
+            own[k] += 1
+            want.append((*r, k))
+    tokens = spark.createDataFrame(rows, "doc_id long, pos long, word string, topic long").repartition(3)
+    frame = lda.gibbs(tokens, 4, 0.1, 0.01, 5)
+    assert pairs(frame) == want and "MapInArrow" in frame._jdf.queryExecution().executedPlan().toString()  # not a group a document
+    monkeypatch.setattr(lda, "HOT", 8)  # some words by the matrix, others by the join
+    monkeypatch.setattr(lda, "TASK", 50)
+    monkeypatch.setattr(lda, "TOGETHER", 20)
+    assert pairs(lda.gibbs(tokens, 4, 0.1, 0.01, 5)) == want
+    assert lda.gibbs(tokens.where("doc_id > 99"), 4, 0.1, 0.01, 5).count() == 0
+
+
 def test_greedy_categories_against_every_subset():
     values, g, n = list(range(5)), [5.0, -3.0, 1.0, -8.0, 2.0], [3, 2, 4, 1, 2]
     part = lambda s, c: s * s / (2 * c + 1.0)
