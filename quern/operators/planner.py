@@ -4,25 +4,77 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RATIO, TERMS, CLASSES = 1.25, 18, 64  # a series' relative error is under 9 ** -TERMS; bandwidths that are summed apart
+
+
 def cost_model(executors: DataFrame, batch: float, pull: float) -> DataFrame:
     """(workers, cost) for each number of workers 1..N-1. executors (id, throughput, bandwidth), a batch of `batch` items and `pull` bytes pulled an item.
 
     The fastest executors work and the others serve: cost(W) = batch / sum over workers of
-    1 / (1 / throughput + pull * max(1 / bandwidth, W / bandwidth of all servers)). A worker meets only the candidates that have it.
+    1 / (1 / throughput + pull * max(1 / bandwidth, c)), c = W / bandwidth of all servers. c grows with W, so each worker's own bandwidth binds up to some W
+    and c from there on. Both sets are running sums over W; in the second, workers whose 1 / throughput = m (1 + t), |t| <= 1/9, share one centre m, and
+    the sum of 1 / (m (1 + t) + pull c) is a series in the sums of powers of t. So the work grows as N log N, in one task: a row an executor.
     """
-    order = Window.orderBy(F.desc("thr"), "id")  # one row an executor
+    order = Window.orderBy(F.desc("thr"), "id")
     plain = executors.select("id", F.col("throughput").cast("double").alias("thr"), F.col("bandwidth").cast("double").alias("bw"))
-    ranked = plain.select("*", F.row_number().over(order).cast("long").alias("rank"))
-    ranked = ranked.withColumn("n", F.count("*").over(Window.partitionBy())).withColumn("servers_bw", F.coalesce(F.sum("bw").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
-    candidates = ranked.where("rank < n").select(F.col("rank").alias("workers"), F.col("servers_bw").alias("w_bw"))
-    each = ranked.withColumn("workers", F.explode(F.when(F.col("rank") < F.col("n"), F.sequence(F.col("rank"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))))
-    joined = each.join(candidates, "workers")
-    rate = 1 / (1 / F.col("thr") + F.lit(pull) * F.greatest(1 / F.col("bw"), F.col("workers") / F.col("w_bw")))
-    return joined.groupBy("workers").agg((F.lit(batch) / F.sum(rate)).alias("cost"))
+    ranked = plain.select(F.row_number().over(order).cast("long").alias("rank"), F.lit(0).alias("_one"), (1 / F.col("thr")).alias("own"), (1 / F.col("bw")).alias("least"), "bw")
+
+    def costs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        own, least, bw = (rows[c].to_numpy("float64", na_value=np.nan) for c in ("own", "least", "bw"))
+        n, w = len(rows), np.arange(1, len(rows))
+        known = np.nan_to_num(bw[::-1])  # a null bandwidth serves nothing and never binds
+        servers = np.cumsum(known)[::-1][1:]
+        if (servers == 0).any():
+            raise ValueError("servers have no bandwidth")
+        c = w / servers
+        least = np.where(np.isnan(least), -np.inf, least)
+        counts = ~np.isnan(own)  # a null throughput adds nothing
+        even = counts & (own > 0) & np.isfinite(own) & bool((np.diff(c) >= 0).all() and (c > 0).all() and pull >= 0)
+        first = np.arange(n)  # places in w where a worker counts
+        bound = np.maximum(first, np.searchsorted(c, least, "left")) if even.any() else first
+        rate = np.zeros(n - 1)
+
+        e = np.flatnonzero(even)
+        own_rate = np.zeros(len(e))
+        use = bound[e] > first[e]
+        own_rate[use] = 1 / (own[e][use] + pull * least[e][use])
+        for value in np.unique(least[e][use]) if len(np.unique(least[e][use])) <= CLASSES else [None]:  # workers of one bandwidth leave together
+            g = e[use] if value is None else e[use][least[e][use] == value]
+            r = own_rate[use] if value is None else own_rate[use][least[e][use] == value]
+            begin = np.bincount(first[g], r, n).astype(np.longdouble).cumsum()[: n - 1]
+            if value is None:
+                rate += (begin - np.bincount(bound[g], r, n).astype(np.longdouble).cumsum()[: n - 1]).astype(float)
+            else:
+                rate += np.where(c < value, begin.astype(float), 0.0)
+        block = np.floor(np.log(own[e]) / np.log(RATIO)).astype(int)
+        for k in np.unique(block):
+            g = e[block == k]
+            g = g[np.argsort(bound[g], kind="stable")]
+            m = RATIO**k * (1 + RATIO) / 2
+            t = own[g] / m - 1
+            here = slice(bound[g[0]], n - 1)
+            many = np.searchsorted(bound[g], np.arange(n - 1)[here], "right")
+            y, total, power = 1 / (1 + pull * c[here] / m), 0.0, np.ones(len(g))
+            sums = []
+            for _ in range(TERMS):
+                sums.append(np.r_[0.0, np.cumsum(power)])
+                power = power * -t
+            for s in reversed(sums):
+                total = total * y + s[many]
+            rate[here] += total * y / m
+        for i in np.flatnonzero(counts & ~even):  # not positive: one at a time
+            rate[i:] += 1 / (own[i] + pull * np.maximum(least[i], c[i:]))
+        some = counts.cumsum()[: n - 1] > 0
+        return pd.DataFrame({"workers": w, "cost": np.divide(batch, rate, out=np.full(n - 1, np.nan), where=some)})  # no worker that counts: null
+
+    return ranked.groupBy("_one").applyInPandas(costs, "workers long, cost double")
 
 
 def best_plan(costs: DataFrame, now: int, threshold: float) -> DataFrame:

@@ -219,6 +219,23 @@ def test_plans():
     assert servers == [1] and cost > 0
 
 
+def test_costs_without_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    for some in (None, 5):  # any bandwidth, or few
+        x = [(i, rng.choice([0.5, 7.0, 100.0, 11_000.0]) * rng.uniform(1, 2), float(rng.randrange(some) + 1) if some else rng.uniform(1, 4000)) for i in range(300)] + [(300, None, 5.0), (301, 9.0, None)]
+        frame = planner.cost_model(spark.createDataFrame(x, "id long, throughput double, bandwidth double"), 500.0, 3.0)
+        order = sorted(x, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+        for w, cost in pairs(frame):
+            c = w / sum(r[2] or 0 for r in order[w:])
+            assert cost == pytest.approx(500 / sum(1 / (1 / t + 3 * max(1 / b if b else c, c)) for _, t, b in order[:w] if t), rel=1e-12)
+        assert frame.count() == 301 and "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+    same = planner.cost_model(spark.createDataFrame([(i, 4.0, 1.0) for i in range(4)], "id long, throughput double, bandwidth double"), 8.0, 1.0)
+    assert dict(pairs(same)) == pytest.approx({1: 10.0, 2: 5.0, 3: 26 / 3})  # at 2 both bounds are 1
+    assert planner.cost_model(spark.createDataFrame([(1, 2.0, 3.0)], "id long, throughput double, bandwidth double"), 5.0, 3.0).count() == 0
+
+
 def test_states_layers_and_hosts(spark, tmp_path):
     from quern.operators.states import StateMachine
 
