@@ -115,6 +115,26 @@ def test_shortest_paths_and_pagerank(spark):
     assert dict(pairs(graph.pagerank(vertices, edges))) == pytest.approx(v)
 
 
+def test_supersteps_leave_edges_in_place(spark):
+    rows = [(a, (a * 7 + k) % 50, a % 5 + k) for a in range(50) for k in range(1 + a % 9)] + [(3, d, 2) for d in range(200, 230)] + [(None, 1, 1)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight long")
+    lists = graph.packed(edges)
+    again = lists.select("src", F.explode(F.arrays_zip("dst", "weight")).alias("e")).select("src", "e.*")
+    assert pairs(again) == sorted(r for r in rows if r[0] is not None)
+    v = graph.cut(graph.sources(lists).select("id", F.lit(1).alias("n_edges"), F.lit(1.0).alias("value"), F.lit(True).alias("active")), placed=True)
+    program = graph.Computation(None, None, None, F.col("value") + F.col("weight"), None, F.min)
+    plan = v.join(graph._deliver(v, lists, program).hint("shuffle_hash"), "id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange ") == 1  # the combined messages alone
+    dist = {v: 0 if v == 3 else graph.UNREACHED for v in range(50)}
+    for _ in range(60):
+        for a, b, w in rows[:-1]:
+            if b in dist and dist[a] < graph.UNREACHED:
+                dist[b] = min(dist[b], dist[a] + w)
+    vertices = spark.range(50)
+    for e in (edges, lists):
+        assert dict(pairs(graph.shortest_paths(vertices, e, 3)[0])) == dist
+
+
 def test_mlr_learns(spark):
     rows = spark.createDataFrame([(i, i % 2, [1.0, float(i % 2)]) for i in range(20)], "id long, label int, features array<double>")
     w, history = mlr.Trainer(2, 2).train(rows, 20, 0.5, 0.9, 5)
