@@ -150,6 +150,41 @@ def test_nmf_loss_falls(spark):
     assert nmf.loss(r, *nmf.train(r, 2, 15, 0.01, 0.0)).first()[0] < 0.5 * nmf.loss(r, *first).first()[0]
 
 
+def test_factors_by_function_or_by_table(spark):
+    r = spark.createDataFrame([(i, j, float(i * j % 5)) for i in range(1, 4) for j in range(1, 5) if (i + j) % 4], "i long, j long, v double")
+    f = nmf.hashed(2)
+    tables = [nmf.hashed_factors(r.select(F.col(c).alias("id")).distinct(), 2) for c in "ij"]
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(nmf.loss(r, f, f)) and "Join" in plan(nmf.loss(r, *tables))
+    assert nmf.loss(r, f, f).first()[0] == pytest.approx(nmf.loss(r, *tables).first()[0])
+    value = lambda i, k: (i * 31 + k * 17) % 100 / 100
+    want = {1: {}, 0: {}}
+    for i, j, v in map(tuple, r.collect()):
+        e = sum(value(i, k) * value(j, k) for k in range(2)) - v
+        for side, own, other in ((0, i, j), (1, j, i)):
+            g = want[side].setdefault(own, [0.2 * value(own, k) for k in range(2)])
+            want[side][own] = [g[k] + 2 * e * value(other, k) for k in range(2)]
+    for factors in ((f, f), tables, (f, tables[1])):
+        for side, g in enumerate(nmf.gradients(r, *factors, 2, 0.1)):
+            got = dict(map(tuple, g.collect()))
+            assert got.keys() == want[side].keys() and all(got[k] == pytest.approx(want[side][k]) for k in got)
+    mixed = r.select(F.col("i").cast("int").alias("i"), "j", "v")  # the hash of an int is not that of a long
+    start = nmf.random_factors(mixed.select(F.col("i").alias("id")).distinct(), 2, 7), nmf.random_factors(nmf.keys(mixed), 2, 8)
+    by_table, by_function = ([dict(map(tuple, g.collect())) for g in nmf.gradients(mixed, *x, 2, 0.1)] for x in (start, (nmf.random(2, 7), nmf.random(2, 8))))
+    assert all(a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a) for a, b in zip(by_table, by_function))
+
+
+def test_ratings_come_in_parts_by_lines(spark, monkeypatch):
+    from quern.plans import learning_queries as Q
+
+    sizes = []
+    for most in (10**6, 100):
+        monkeypatch.setattr(Q, "LINES_A_TASK", most)
+        sizes.append(Q.ratings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions())
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert sizes == [8, -(-lines // 100)]
+
+
 def test_gibbs_keeps_tokens_and_repeats(spark):
     t = lda.first_topics(spark.createDataFrame([(d, p, f"w{(d + p) % 3}") for d in range(4) for p in range(9)], "doc_id long, pos long, word string"), 3)
     a, b = lda.gibbs(t, 3, 0.1, 0.01, 1), lda.gibbs(t, 3, 0.1, 0.01, 1)
